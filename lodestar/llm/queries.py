@@ -36,8 +36,8 @@ w AS (SELECT source, n, pow(p, e) / (SELECT sum(pow(p, e)) FROM p, e) AS w FROM
 q AS (SELECT source, n, greatest(round(w * 65536), 1)::BIGINT AS quota, round(w * (SELECT max(n / w) FROM w))::BIGINT AS total FROM w),
 c AS (SELECT t.doc_id, t.source, t.tokens, q.n, q.quota, q.total, unnest(range(0, greatest(1, ceil(total / n)::BIGINT))) AS epoch FROM t JOIN q ON t.source IS NOT DISTINCT FROM q.source),
 k AS (SELECT *, md5(concat_ws(':', '0', epoch::VARCHAR, coalesce(doc_id::VARCHAR, ''))) AS key FROM c),
-o AS (SELECT *, epoch * n + coalesce(sum(tokens) OVER (PARTITION BY source, epoch ORDER BY key, doc_id, tokens ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS at FROM k),
-x AS (SELECT *, CAST(floor((at - at % quota) / quota) AS BIGINT) AS block FROM o WHERE at < total)
+o AS (SELECT *, epoch * n + coalesce(sum(tokens) OVER (PARTITION BY source, epoch ORDER BY key, doc_id, tokens ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos FROM k),
+x AS (SELECT *, CAST(floor((pos - pos % quota) / quota) AS BIGINT) AS block FROM o WHERE pos < total)
 SELECT doc_id, source, tokens, epoch::BIGINT AS epoch, block::BIGINT AS block, (row_number() OVER (PARTITION BY block ORDER BY key, source, doc_id, epoch, tokens) - 1)::BIGINT AS slot FROM x
 """
 
