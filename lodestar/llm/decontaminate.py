@@ -26,29 +26,28 @@ WINDOW, PLAIN, SHARE, RUN = 8, 5, 0.5, 13
 #: Windows of the benchmark that are broadcast; beyond it they are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
 # Units of measure.
-UNITS = ["%", "mm", "cm", "m", "km", "g", "kg", "mg", "lb", "oz", "ml", "l", "s", "sec", "seconds", "min", "minutes", "h", "hours", "days", "weeks", "months", "years", "meters", "metres", "miles", "feet", "inches", "dollars", "euros", "cents", "kmh", "mph", "degrees", "percent", "watts", "volts", "joules", "newtons", "liters", "litres", "grams", "kilograms", "kilometers", "kilometres"]
+UNITS = ["mm", "cm", "m", "km", "g", "kg", "mg", "lb", "oz", "ml", "l", "s", "sec", "seconds", "min", "minutes", "h", "hours", "days", "weeks", "months", "years", "meters", "metres", "miles", "feet", "inches", "dollars", "euros", "cents", "kmh", "mph", "degrees", "percent", "watts", "volts", "joules", "newtons", "liters", "litres", "grams", "kilograms", "kilometers", "kilometres"]
 
 
-def _template(w: Column, i: Column, all_words: str) -> Column:
-    core = F.btrim(w, F.lit(".,!?:;"))
-    first, before = F.substring(core, 1, 1), F.get(all_words, i - 1)
-    number = first.between("0", "9") & core.rlike("^[0-9][0-9.,]*$")
-    unit = F.lower(core).isin(UNITS) & F.substring(before, 1, 1).between("0", "9")
-    name = (first != F.lower(first)) & (i > 0) & ~F.right(before, F.lit(1)).isin(".", "!", "?", ":")
-    kind = F.when(number, "<number>").when(F.coalesce(unit, F.lit(False)), "<unit>").when(F.coalesce(name, F.lit(False)), "<name>")
-    low = F.lower(core)
-    return F.struct(F.xxhash64(F.coalesce(kind, low)).alias("h"), F.when(kind.isNotNull(), low).alias("v"))
+def _kind(c: Column, i: Column) -> Column:
+    """The placeholder of a core (a word without outer punctuation), or null; comparisons of strings tell its first character's kind."""
+    before, digit = F.get("_core", i - 1), lambda x: (x >= "0") & (x < ":")
+    upper = ((c >= "A") & (c < "[")) | ((c >= "\u0080") & (F.substring(c, 1, 1) != F.lower(F.substring(c, 1, 1))))
+    inside = (i > 0) & ~F.right(F.get("_words", i - 1), F.lit(1)).isin(".", "!", "?", ":")
+    return F.when(digit(c), F.when(c.rlike("^[0-9][0-9.,]*$"), "<number>")).when(digit(before), F.when(F.lower(c).isin(UNITS), "<unit>")).when(upper, F.when(inside, "<name>"))
 
 
 def windows(docs: DataFrame, key: str) -> DataFrame:
     """key, at, hash, slots (the values of placeholders by place, '' for plain words; null if all are plain)."""
-    plain = F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), rf"[^\p{{L}}\p{{N}}{SPACE}.,!?:;%]+", "")
-    df = docs.select(F.col(key), words(plain).alias("_words"))
-    # A word of punctuation only is no word.
-    df = df.withColumn("_words", F.filter("_words", lambda w: F.btrim(w, F.lit(".,!?:;")) != "")).where(F.size("_words") >= WINDOW)
-    df = df.withColumn("_t", F.transform("_words", lambda w, i: _template(w, i, "_words")))
-    df = df.select(key, F.transform("_t", lambda t: t["h"]).alias("_h"), F.transform("_t", lambda t: t["v"]).alias("_v"))
-    df = df.withColumn("_any", F.exists("_v", lambda v: v.isNotNull()))
+    plain = F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), rf"[^\p{{L}}\p{{N}}{SPACE}.,!?:;]+", "")
+    # Punctuation that stands alone joins the word before it.
+    plain = F.regexp_replace(plain, rf"[{SPACE}]+([.,!?:;])", "$1")
+    df = docs.select(F.col(key), words(plain).alias("_words")).where(F.size("_words") >= WINDOW)
+    df = df.withColumn("_core", F.transform("_words", lambda w: F.btrim(w, F.lit(".,!?:;"))))
+    df = df.withColumn("_k", F.transform("_core", _kind)).withColumn("_any", F.exists("_k", lambda k: k.isNotNull()))
+    h = F.when(F.col("_any"), F.transform("_core", lambda c, i: F.xxhash64(F.coalesce(F.get("_k", i), F.lower(c))))).otherwise(F.transform("_core", lambda c: F.xxhash64(F.lower(c))))
+    v = F.when(F.col("_any"), F.transform("_core", lambda c, i: F.when(F.get("_k", i).isNotNull(), F.lower(c))))
+    df = df.select(key, h.alias("_h"), v.alias("_v"), F.col("_any"))
     values = lambda i: [F.get("_v", i + k) for k in range(WINDOW)]
 
     def window(i: Column) -> Column:
