@@ -45,7 +45,7 @@ STEPS = [
     (r"https?://", ""),
     (r"organisation", "organization"),
     (r"non-?infringement", "noninfringement"),
-    (r"[^a-z0-9\n]+", " "),
+    (r"[^\p{L}\p{N}\n]+", " "),
     (r" ?\n[ \n]*", "\n"),
 ]
 

@@ -188,9 +188,9 @@ def test_pii_against_patterns(spark, sf_dir):
 
 
 def test_licenses(spark):
-    rows = [(1, "Copyright (c) 2020 X\n" + licenses.TEXTS["MIT"].upper().replace("\n", "\n\n")), (2, "Some text.\nReleased under the MIT Licence!"), (3, licenses.TEXTS["BSD-3-Clause"] + " more"), (4, None)]
+    rows = [(1, "Copyright (c) 2020 X\n" + licenses.TEXTS["MIT"].upper().replace("\n", "\n\n")), (2, "Some text.\nReleased under the MIT Licence!"), (3, licenses.TEXTS["BSD-3-Clause"] + " more"), (4, None), (5, licenses.TEXTS["MIT"] + "\nи ещё 许可"), (6, "许可 !!"), (7, "?!")]
     got = {r["doc_id"]: (r["license"], r["notices"]) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {1: ("MIT", ""), 2: (None, "MIT"), 3: (None, ""), 4: (None, "")}
+    assert got == {1: ("MIT", ""), 2: (None, "MIT"), 3: (None, ""), 4: (None, ""), 5: (None, ""), 6: (None, ""), 7: (None, "")}
 
 
 def test_chat(spark):
