@@ -145,7 +145,9 @@ def _url(text: str, mark: int, low: int) -> tuple[int, int] | None:
     return (start, end) if mark - start >= 3 and end - mark - 3 >= 4 else None
 
 
-_ACCOUNT = re.compile(r"(?:[ \t]*(?:no|nr|number)\.?)?[ \t]*[:=#]?[ \t]*([A-Za-z0-9](?:[ -]?[A-Za-z0-9]){7,33})(?![A-Za-z0-9])")
+#: A group of letters and digits: it has a digit, or is four capitals (a bank's code) before one that starts with a digit.
+_GROUP = r"(?:(?=[A-Za-z]{0,33}[0-9])|(?=[A-Z]{4}[ -][0-9]))[A-Za-z0-9]{1,34}(?![A-Za-z0-9])"
+_ACCOUNT = re.compile(rf"(?:[ \t]{{0,8}}(?:no|nr|number)\b\.?)?[ \t]{{0,8}}[:=#]?[ \t]{{0,8}}({_GROUP}(?:[ -]{_GROUP}){{0,33}})")
 _SECRET = re.compile(r"[ \t]*[:=][ \t]*[\"']?([A-Za-z0-9+/_\-]{16,4096})")
 
 
@@ -179,7 +181,7 @@ def find(text: str, automaton) -> dict[str, list[tuple[int, int]]]:
             else:
                 m = (_ACCOUNT if kind == "account" else _SECRET).match(text, last + 1)
                 found = m and m.span(1)
-                if found and kind == "account" and sum(c in DIGITS for c in m[1]) < 4:
+                if found and kind == "account" and not (8 <= sum(c in ALNUM for c in m[1]) <= 34 and sum(c in DIGITS for c in m[1]) >= 4):
                     found = None
             if found:
                 low[kind] = found[1]
