@@ -33,8 +33,8 @@ ship(__name__)
 
 WIDTH, THRESHOLD = 5, 0.8
 TREES, FULL_DEPTH, RECALL = 16, 12, 0.99
-#: Distinct texts of a block; a task verifies two blocks.
-BLOCK = 256
+#: Distinct texts of a block, and their shingles; a task verifies two blocks, so long texts don't raise its memory.
+BLOCK, BLOCK_SHINGLES = 256, 400_000
 #: Ids broadcast to pick texts out of the corpus; beyond it the ids are joined.
 BROADCAST_ROWS = 2_000_000
 
@@ -174,13 +174,14 @@ def join(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, reca
     """One row a document: doc_id, class_id (the least doc_id that links lead to), n_links (documents at the threshold or over, copies too), copy_id (the least doc_id of its copies), n_shingles."""
     sigs = materialise(signatures(docs, width, trees, depth_for(threshold, recall, trees)))
     real = sigs.where("n_shingles > 0 and doc_id is not null")
-    reps = materialise(real.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("prefixes").alias("prefixes")))
+    reps = materialise(real.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("size"), F.first("prefixes").alias("prefixes")))
     nodes = reps.select("rep", F.explode("prefixes").alias("node"))
     met = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("v")).where("n > 1").select("node", "v")
     near = components(nodes.join(met, "node").select(F.col("rep").alias("u"), "v"))
     member = near.unionByName(near.select(F.col("v").alias("u"), "v").distinct()).select(F.col("u").alias("rep"), F.col("v").alias("comp"))
-    blocks = member.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    member = member.join(blocks, "comp").join(reps.select("rep", "copies"), "rep")
+    member = member.join(reps.select("rep", "copies", "size"), "rep")
+    blocks = member.groupBy("comp").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    member = member.join(blocks, "comp")
     member = materialise(member.withColumn("side", F.expr("cast(pmod(xxhash64(rep), blocks) as int)")))
     ids = member.select(F.col("rep").alias("_rep"), "comp", "blocks", "copies", "side")
     ids = F.broadcast(ids) if member.count() <= BROADCAST_ROWS else ids

@@ -107,8 +107,9 @@ def test_jaccard_against_all_pairs(spark, sf_dir):
     assert got == {d: (find(d), links[d]) for d in ids}
 
 
-def test_jaccard_blocks_of_near_copies(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "BLOCK", 8)
+@pytest.mark.parametrize(("bound", "value"), [("BLOCK", 8), ("BLOCK_SHINGLES", 1500)])
+def test_jaccard_blocks_of_near_copies(spark, monkeypatch, bound, value):
+    monkeypatch.setattr(jaccard, bound, value)
     base = [f"w{i}" for i in range(200)]
     rows = [(k, " ".join(base[:k] + ["x"] + base[k + 1 :])) for k in range(40)] + [(100 + k, " ".join(base)) for k in range(5)]
     got = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
