@@ -137,12 +137,14 @@ def _url(text: str, mark: int, low: int) -> tuple[int, int] | None:
     start, n = mark, len(text)
     while start > low and text[start - 1] in ALNUM:
         start -= 1
+    if mark - start < 3:  # no scheme: the rest isn't read, so that many such marks stay linear
+        return None
     end = mark + 3
     while end < n and text[end] not in URL_STOP:
         end += 1
     while end > mark + 3 and text[end - 1] in ".,;:!?)]":
         end -= 1
-    return (start, end) if mark - start >= 3 and end - mark - 3 >= 4 else None
+    return (start, end) if end - mark - 3 >= 4 else None
 
 
 #: A group of letters and digits: it has a digit, or is four capitals (a bank's code) before one that starts with a digit.
