@@ -62,6 +62,24 @@ def test_odd_rows_everywhere(spark, odd, labels):
     assert urls.judge(pages.limit(0)).count() == 0
 
 
+def test_url_rules_against_all_of_them(spark):
+    """The index fetches every rule that fits: the same verdicts as running all rules."""
+    import random
+
+    rnd = random.Random(7)
+    hosts = ["a.com", "x.example.com", "example.com", "example.net", "b.net", "cheap-pills.org", "spam-farm.net", "my-online-casino.com", "free-downloads.net", "free-movies.org", "de.wikipedia.org", "mycom", "c.org"]
+    paths = ["", "/", "/en/", "/en/7", "/en/70/x", "/de/", "/de/8", "/es/1", "/signin", "/cart/", "/checkout.php", "/a/login.html", "/loginx", "/x/wp-admin/y", "/wiki/Cart", "/wiki/cart"]
+    rows = [(k, f"http://{rnd.choice(hosts)}{rnd.choice(paths)}") for k in range(2000)]
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    for k, u in rows:
+        fits = [r for r in urls.SCOPES + urls.PATTERNS if re.search(r.pattern, u[7:])]
+        scope = max((r for r in fits if r.scope), key=lambda r: len(r.scope), default=None)
+        actions = {r.action for r in fits if not r.scope}
+        want = scope.action if scope else "allow" if "allow" in actions or not actions else "block"
+        assert got[k] == (scope and scope.scope, want), u
+    assert {v for _, v in got.values()} == {"allow", "block"}
+
+
 def test_mixing_meets_its_targets(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     tokens = mixing.token_table(docs)
@@ -190,6 +208,7 @@ def test_pii_against_patterns(spark, sf_dir):
         "account 12345678 was 5 years old": "account:8:16",
         "account numbers 2024 rose": "",
         "passport" * 2000: "",
+        "x://" * 200_000: "",
     }
     got = {r["doc_id"]: r["spans"] for r in pii.scan(spark.createDataFrame(list(enumerate(extra)), "doc_id long, text string")).collect()}
     assert {k: ",".join(x for x in got[k].split(",") if x.split(":")[0] not in pii.BASE) for k in got} == dict(enumerate(extra.values()))
