@@ -11,8 +11,10 @@ question with other numbers is caught, and text that only has the form isn't.
 
 Cases. Null and empty texts have no windows, nor have items under eight words
 or windows with fewer than five plain words: they match nothing. Rows that share a
-doc_id are judged together, null doc_ids as one. Repeated items report each
-item_id. Other columns don't matter.
+doc_id, or have none, are judged each by its own text (told apart by a 64-bit
+digest, so no doc_id gathers in one task); leaks() names a doc_id and item once,
+by the best of its texts. Repeated items report each item_id. Other columns
+don't matter.
 """
 
 from __future__ import annotations
@@ -37,17 +39,21 @@ def _kind(c: Column, i: Column) -> Column:
     return F.when(digit(c), F.when(c.rlike("^[0-9][0-9.,]*$"), "<number>")).when(digit(before), F.when(F.lower(c).isin(UNITS), "<unit>")).when(upper, F.when(inside, "<name>"))
 
 
-def windows(docs: DataFrame, key: str) -> DataFrame:
-    """key, at, hash, slots (the values of placeholders by place, '' for plain words; null if all are plain)."""
+def _text_id() -> Column:
+    return F.xxhash64("text")
+
+
+def windows(docs: DataFrame, *key: str) -> DataFrame:
+    """The key columns, at, hash, slots (the values of placeholders by place, '' for plain words; null if all are plain)."""
     plain = F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), rf"[^\p{{L}}\p{{N}}{SPACE}.,!?:;]+", "")
     # Punctuation that stands alone joins the word before it.
     plain = F.regexp_replace(plain, rf"[{SPACE}]+([.,!?:;])", "$1")
-    df = docs.select(F.col(key), words(plain).alias("_words")).where(F.size("_words") >= WINDOW)
+    df = docs.select(*key, words(plain).alias("_words")).where(F.size("_words") >= WINDOW)
     df = df.withColumn("_core", F.transform("_words", lambda w: F.btrim(w, F.lit(".,!?:;"))))
     df = df.withColumn("_k", F.transform("_core", _kind)).withColumn("_any", F.exists("_k", lambda k: k.isNotNull()))
     h = F.when(F.col("_any"), F.transform("_core", lambda c, i: F.xxhash64(F.coalesce(F.get("_k", i), F.lower(c))))).otherwise(F.transform("_core", lambda c: F.xxhash64(F.lower(c))))
     v = F.when(F.col("_any"), F.transform("_core", lambda c, i: F.when(F.get("_k", i).isNotNull(), F.lower(c))))
-    df = df.select(key, h.alias("_h"), v.alias("_v"), F.col("_any"))
+    df = df.select(*key, h.alias("_h"), v.alias("_v"), F.col("_any"))
     values = lambda i: [F.get("_v", i + k) for k in range(WINDOW)]
 
     def window(i: Column) -> Column:
@@ -57,17 +63,17 @@ def windows(docs: DataFrame, key: str) -> DataFrame:
         return F.struct(i.alias("at"), F.xxhash64(*(F.get("_h", i + k) for k in range(WINDOW))).alias("hash"), slots.alias("slots"), (n_slots <= WINDOW - PLAIN).alias("ok"))
 
     made = F.transform(F.sequence(F.lit(0), F.size("_h") - WINDOW), window)
-    return df.select(key, F.explode(made).alias("x")).select(key, "x.*").where("ok").drop("ok")
+    return df.select(*key, F.explode(made).alias("x")).select(*key, "x.*").where("ok").drop("ok")
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row for each document and item that it holds: doc_id, item_id, n_windows (hits on its best diagonal), item_windows."""
+def _leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """One row for each text of a document, item and diagonal that is a leak."""
     items = windows(benchmark, "item_id").withColumnsRenamed({"at": "item_at", "slots": "item_slots"})
     sizes = items.groupBy("item_id").agg(F.count(F.lit(1)).alias("item_windows"))
     items = items.join(sizes, items["item_id"].eqNullSafe(sizes["item_id"])).drop(sizes["item_id"])
     items = F.broadcast(items) if items.count() <= BROADCAST_ROWS else items
-    hits = windows(docs, "doc_id").join(items, "hash").withColumn("diagonal", F.col("at") - F.col("item_at"))
-    on = ["doc_id", "item_id", "item_windows", "diagonal"]
+    hits = windows(docs.select("doc_id", "text", _text_id().alias("_id")), "doc_id", "_id").join(items, "hash").withColumn("diagonal", F.col("at") - F.col("item_at"))
+    on = ["doc_id", "_id", "item_id", "item_windows", "diagonal"]
     values = F.arrays_zip(F.split("item_slots", " ").alias("a"), F.split("slots", " ").alias("b"))
     slots = F.when(F.col("slots").isNotNull(), F.filter(values, lambda x: x["a"] != ""))
     hits = hits.select(*on, "item_at", slots.alias("slots"))
@@ -76,11 +82,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     a, b = F.transform("s", lambda x: x["a"]), F.transform("s", lambda x: x["b"])
     one_to_one = (F.size(F.array_distinct(a)) == F.size("s")) & (F.size(F.array_distinct(b)) == F.size("s"))
     enough = F.least(F.ceil(F.col("item_windows") * SHARE), F.lit(RUN - WINDOW + 1))
-    leaked = per.where((F.col("n_windows") >= enough) & one_to_one)
-    return leaked.groupBy("doc_id", "item_id", "item_windows").agg(F.max("n_windows").alias("n_windows")).select("doc_id", "item_id", "n_windows", "item_windows")
+    return per.where((F.col("n_windows") >= enough) & one_to_one)
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """One row for each document and item that it holds: doc_id, item_id, n_windows (hits on its best diagonal), item_windows."""
+    return _leaks(docs, benchmark).groupBy("doc_id", "item_id", "item_windows").agg(F.max("n_windows").alias("n_windows")).select("doc_id", "item_id", "n_windows", "item_windows")
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs that hold no item."""
-    bad = leaks(docs, benchmark).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+    """The rows of docs whose text holds no item."""
+    bad = _leaks(docs, benchmark).select(F.col("doc_id").alias("_bad"), F.col("_id").alias("_bad_id")).distinct()
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]) & (_text_id() == bad["_bad_id"]), "left_anti")

@@ -155,6 +155,11 @@ def test_decontamination(spark, sf_dir):
     docs = spark.createDataFrame([(1, "Intro text. " + other + ". The end"), (2, torn), (3, item.upper()), (4, "nothing of the kind is in here, not even a number of words that agree")], "doc_id long, text string")
     got = {r["doc_id"] for r in decontaminate.leaks(docs, spark.createDataFrame([(9, item)], "item_id long, text string")).collect()}
     assert 1 in got and not got & {2, 4}
+    # Rows without a doc_id, or that share one, stand for themselves.
+    rows = [(None, item), (None, "Intro text. " + other), (None, torn), (None, "clean"), (5, item), (5, torn), (5, None)]
+    mixed, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(9, item)], "item_id long, text string")
+    assert sorted(decontaminate.without_leaks(mixed, bench).collect(), key=repr) == sorted([(5, None), (5, torn), (None, "clean"), (None, torn)], key=repr)
+    assert {r["doc_id"] for r in decontaminate.leaks(mixed, bench).collect()} == {None, 5} and decontaminate.leaks(mixed, bench).count() == 2
     docs, bench = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     plain = lambda t: " ".join(re.sub(r"[^\w\s]", "", t or "").lower().split())
     items = [(r["item_id"], plain(r["text"])) for r in bench.collect()]
