@@ -5,6 +5,8 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from typing import Any
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.expr import Field
@@ -76,7 +78,7 @@ def from_json_schema(schema: dict, classes: dict[str, EntityClass] | None = None
 
 
 def _attribute(p: dict, required: bool) -> Attribute:
-    keep = {k: p[k] for k in ("title", "description", "enum", "x-enum-varnames", "options") if k in p}
+    keep = {k: p[k] for k in ("title", "title*", "description", "description*", "enum", "x-enum-varnames", "x-enum-descriptions", "options") if k in p}
     target = p.get("range") or p.get("items", {}).get("range")
     if required and p.get("range"):
         keep["x-oold-required-iri"] = True
@@ -97,6 +99,25 @@ def _type(p: dict) -> T.DataType:
     return _TYPES[kind]
 
 
+def enum_titles(a: Attribute) -> dict[Any, str]:
+    """Of each value of an enumeration its title; the value itself, as text, without one."""
+    values = a.metadata.get("enum", [])
+    titles = a.metadata.get("options", {}).get("enum_titles") or a.metadata.get("x-enum-descriptions") or []
+    return {v: titles[k] if k < len(titles) else str(v) for k, v in enumerate(values)}
+
+
+def title_of(value: Column, a: Attribute) -> Column:
+    """The title of a value, null for one outside the enumeration; a lookup in a literal map."""
+    pairs = [F.lit(x) for pair in enum_titles(a).items() for x in pair]
+    return F.try_element_at(F.create_map(*pairs), value) if pairs else F.lit(None).cast("string")
+
+
+def outside_enum(value: Column, a: Attribute) -> Column:
+    """Whether the attribute is an enumeration that lacks the value; null counts as absent, not as outside."""
+    values = a.metadata.get("enum")
+    return F.coalesce(~value.isin(*values), F.lit(False)) if values else F.lit(False)
+
+
 def to_json_schema(cls: EntityClass, full: bool = True) -> dict:
     """full: with what it inherits; else its own fields, the parents by reference."""
     attributes = cls.attributes if full else cls.own
@@ -113,6 +134,9 @@ def to_json_schema(cls: EntityClass, full: bool = True) -> dict:
 
 def _property(a: Attribute) -> dict:
     out = _of_type(a.type) | {k: v for k, v in a.metadata.items() if k != "x-oold-required-iri"}
+    if "enum" in out:
+        titles = list(enum_titles(a).values())
+        out |= {"options": out.get("options", {}) | {"enum_titles": titles}, "x-enum-descriptions": titles}
     if a.range:
         (out["items"] if a.many else out)["range"] = a.range
     return out | ({"default": a.default} if a.default is not None else {})

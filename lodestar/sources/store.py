@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import Node, compile_condition, fields
 from ..functions.jsonfn import field as json_field
+from ..functions.jsonfn import prefix_of
 
 REQUEST_ROWS = 100_000
 
@@ -100,6 +101,16 @@ class Registry:
         parts = [EntityStore(self.stores[p].df.select("iri", *columns)).resolve(F.broadcast(spark.createDataFrame(rows, "pos int, iri string")), missing) for p, rows in by.items()]
         return reduce(DataFrame.unionByName, parts)
 
+    def upsert(self, new: DataFrame, order: str | None = None) -> Registry:
+        """A registry with each row in the store of its IRI's prefix; a null IRI, or one without a store, raises an error when a store is read."""
+        prefix_here = prefix_of(F.col("iri"))
+        # The comparison itself raises, so that no order of predicates can skip it.
+        routed = F.when(prefix_here.isin(*self.stores), prefix_here).otherwise(F.raise_error(F.concat(F.lit("no store for "), F.coalesce("iri", F.lit("a null IRI")))))
+        out = Registry()
+        for prefix, store in self.stores.items():
+            out.register(prefix, store.upsert(new.where(routed == prefix), order))
+        return out
+
     def query(self, n: Node, columns: list[str]) -> DataFrame:
         """Over all stores, as a bag."""
         return reduce(DataFrame.unionByName, [s.query(n).select(*columns) for s in self.stores.values()])

@@ -12,6 +12,7 @@ from lodestar.functions.expr import Bool, Condition, compile_condition, parse_mi
 from lodestar.operators.frame import LinkedFrame, best_match
 from lodestar.operators.transform import alias_table, transform
 from lodestar.operators.triples import Graph, to_triples
+from lodestar.plans import model
 from lodestar.plans.context import compile_context
 from lodestar.plans.model import Attribute, EntityClass, from_json_schema, to_json_schema
 from lodestar.sources import credentials
@@ -153,3 +154,45 @@ def test_credentials(spark):
     with pytest.raises(KeyError):
         credentials.find("https://other", stored)
     assert credentials.infer("x", {"token": "t"}).kind == "token"
+
+
+def test_vault(tmp_path):
+    a, b = str(tmp_path / "a.yaml"), str(tmp_path / "sub" / "b.yaml")
+    credentials.dump([credentials.infer("x.org", {"token": "one"}), credentials.infer("y.org", {"username": "u", "password": "p"})], a)
+    vault = credentials.Vault(a, b).add(credentials.infer("x.org/api", {"token": "two"}))
+    assert dict(vault.get("https://x.org/api/v2").values) == {"token": "two"}
+    assert dict(vault.get("https://x.org/other").values) == {"token": "one"}
+    assert vault.get("y.org", exact=True).kind == "user_pwd" and "'p'" not in repr(vault.get("y.org"))
+    with pytest.raises(KeyError):
+        vault.get("https://x.org/api", exact=True)
+    vault.save(b)
+    assert [c.iri for c in credentials.load(b)] == ["x.org/api"]
+    vault.save()
+    assert {c.iri for c in credentials.load(a)} == {"x.org", "x.org/api", "y.org"}
+
+
+def test_registry_upsert(spark):
+    old = {p: spark.createDataFrame([(f"{p}:1", "old"), (f"{p}:2", "old")], "iri string, doc string") for p in ("a", "b")}
+    registry = Registry()
+    for p, df in old.items():
+        registry.register(p, df)
+    new = spark.createDataFrame([("a:1", "new", 1), ("a:1", "newer", 2), ("b:3", "new", 1)], "iri string, doc string, n int")
+    got = sorted(tuple(r) for r in registry.upsert(new, "n").union(["iri", "doc"]).collect())
+    assert got == [("a:1", "newer"), ("a:2", "old"), ("b:1", "old"), ("b:2", "old"), ("b:3", "new")]
+    for iri in ("c:1", None):
+        lost = spark.createDataFrame([(iri, "x")], "iri string, doc string")
+        with pytest.raises(Exception, match="no store for"):
+            registry.upsert(lost).union(["iri", "doc"]).collect()
+
+
+def test_enumerations(spark):
+    hobby = {"type": "string", "enum": ["ex:sports", "ex:music", "ex:art"], "x-enum-varnames": ["SPORTS", "MUSIC", "ART"], "options": {"enum_titles": ["Sports hobby", "Music hobby"], "collapsed": True}}
+    cls = model.from_json_schema({"title": "Example", "properties": {"hobby": hobby, "name": {"type": "string"}}})
+    a = cls.attributes["hobby"]
+    df = spark.createDataFrame([("ex:music",), ("ex:art",), ("ex:sleep",), (None,)], "hobby string")
+    got = [tuple(r) for r in df.select(model.title_of(F.col("hobby"), a), model.outside_enum(F.col("hobby"), a), model.title_of(F.col("hobby"), cls.attributes["name"])).collect()]
+    assert got == [("Music hobby", False, None), ("ex:art", False, None), (None, True, None), (None, False, None)]
+    out = model.to_json_schema(cls)["properties"]["hobby"]
+    assert out["x-enum-descriptions"] == out["options"]["enum_titles"] == ["Sports hobby", "Music hobby", "ex:art"]
+    assert out["options"]["collapsed"] and out["x-enum-varnames"] == ["SPORTS", "MUSIC", "ART"]
+    assert model.from_json_schema({"title": "Example", "properties": {"hobby": out}}).attributes["hobby"].metadata["enum"] == hobby["enum"]
