@@ -47,6 +47,16 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of a few bytes that are broadcast; beyond it they are joined by a shuffle.
+BROADCAST_ROWS = 2_000_000
+
+
+def counted(df: DataFrame) -> DataFrame:
+    """df written and counted; marked for broadcast up to BROADCAST_ROWS, so that the texts it is joined to aren't shuffled."""
+    df = materialise(df)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def running_totals(df: DataFrame, group: list[str], key: str, ties: list[str], values: dict[str, str]) -> DataFrame:
     """Add to each row the sums of values over the rows before it in its group.
 

@@ -22,11 +22,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, words
+from .common import BROADCAST_ROWS, SPACE, counted, words
 
 WINDOW, PLAIN, SHARE, RUN = 8, 5, 0.5, 13
-#: Windows of the benchmark that are broadcast; beyond it they are joined by a shuffle.
-BROADCAST_ROWS = 2_000_000
 # Units of measure.
 UNITS = ["mm", "cm", "m", "km", "g", "kg", "mg", "lb", "oz", "ml", "l", "s", "sec", "seconds", "min", "minutes", "h", "hours", "days", "weeks", "months", "years", "meters", "metres", "miles", "feet", "inches", "dollars", "euros", "cents", "kmh", "mph", "degrees", "percent", "watts", "volts", "joules", "newtons", "liters", "litres", "grams", "kilograms", "kilometers", "kilometres"]
 
@@ -92,5 +90,5 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs whose text holds no item."""
-    bad = _leaks(docs, benchmark).select(F.col("doc_id").alias("_bad"), F.col("_id").alias("_bad_id")).distinct()
+    bad = counted(_leaks(docs, benchmark).select(F.col("doc_id").alias("_bad"), F.col("_id").alias("_bad_id")).distinct())
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]) & (_text_id() == bad["_bad_id"]), "left_anti")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, materialise, ship
+from .common import SPACE, counted, materialise, ship
 from .components import components
 
 ship(__name__)
@@ -35,8 +35,6 @@ WIDTH, THRESHOLD = 5, 0.8
 TREES, FULL_DEPTH, RECALL = 16, 12, 0.99
 #: Distinct texts of a block, and their shingles; a task verifies two blocks, so long texts don't raise its memory.
 BLOCK, BLOCK_SHINGLES = 256, 400_000
-#: Ids broadcast to pick texts out of the corpus; beyond it the ids are joined.
-BROADCAST_ROWS = 2_000_000
 
 _SPLIT = re.compile(f"[{SPACE}]+")
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -182,9 +180,8 @@ def join(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, reca
     member = member.join(reps.select("rep", "copies", "size"), "rep")
     blocks = member.groupBy("comp").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     member = member.join(blocks, "comp")
-    member = materialise(member.withColumn("side", F.expr("cast(pmod(xxhash64(rep), blocks) as int)")))
-    ids = member.select(F.col("rep").alias("_rep"), "comp", "blocks", "copies", "side")
-    ids = F.broadcast(ids) if member.count() <= BROADCAST_ROWS else ids
+    member = member.withColumn("side", F.expr("cast(pmod(xxhash64(rep), blocks) as int)"))
+    ids = counted(member.select(F.col("rep").alias("_rep"), "comp", "blocks", "copies", "side"))
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(ids, F.col("rep") == F.col("_rep")).drop("_rep")
     pairs = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pairs = pairs.select("comp", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "rep", "copies", "text")
@@ -200,5 +197,5 @@ def join(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, reca
 
 def one_of_each(docs: DataFrame, **how) -> DataFrame:
     """The rows of docs without those of a class other than the one of its least doc_id."""
-    gone = join(docs, **how).where("doc_id <> class_id").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = counted(join(docs, **how).where("doc_id <> class_id").select(F.col("doc_id").alias("_gone")).distinct())
     return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
