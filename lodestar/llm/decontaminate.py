@@ -2,15 +2,20 @@
 
 Words lose symbols and case; numbers, units after a number, and names
 (capitalised inside a sentence) become typed placeholders. Windows of eight
-template words are hash-joined with those of the benchmark; hits of a document
+template words are hash-joined with those of the benchmark. Capitals tell no
+names in a text all in capitals, in Title Case or without any, so windows are also joined
+blind to case, with names as plain words, and word for word where numbers and
+units leave under five plain words. Hits of a document
 and item lie on a diagonal (document position less item position). A diagonal
 counts as a leak if at least half of the item's windows, or 13 words in a row
-at the least, are on it and its slots are consistent: equal values in the item
+at the least, are on it (counted over its template windows with template hits
+alone, and over all its windows with hits of every kind) and its slots are consistent: equal values in the item
 stand for equal values in the document, and different for different. So a
 question with other numbers is caught, and text that only has the form isn't.
 
-Cases. Null and empty texts have no windows, nor have items under eight words
-or windows with fewer than five plain words: they match nothing. Rows that share a
+Cases. Null and empty texts have no windows, nor have items under eight words:
+they match nothing. A window with fewer than five plain words matches only as it
+is, whatever the case. Rows that share a
 doc_id, or have none, are judged each by its own text (told apart by a 64-bit
 digest, so no doc_id gathers in one task); leaks() names a doc_id and item once,
 by the best of its texts. Repeated items report each item_id. Other columns
@@ -42,45 +47,68 @@ def _text_id() -> Column:
 
 
 def windows(docs: DataFrame, *key: str) -> DataFrame:
-    """The key columns, at, hash, slots (the values of placeholders by place, '' for plain words; null if all are plain)."""
+    """The key columns, at, hash, slots (the values of placeholders by place, '' for plain words; null if all are plain), template (whether names are placeholders, if there are any)."""
     plain = F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), rf"[^\p{{L}}\p{{N}}{SPACE}.,!?:;]+", "")
     # Punctuation that stands alone joins the word before it.
     plain = F.regexp_replace(plain, rf"[{SPACE}]+([.,!?:;])", "$1")
     df = docs.select(*key, words(plain).alias("_words")).where(F.size("_words") >= WINDOW)
     df = df.withColumn("_core", F.transform("_words", lambda w: F.btrim(w, F.lit(".,!?:;"))))
     df = df.withColumn("_k", F.transform("_core", _kind)).withColumn("_any", F.exists("_k", lambda k: k.isNotNull()))
-    h = F.when(F.col("_any"), F.transform("_core", lambda c, i: F.xxhash64(F.coalesce(F.get("_k", i), F.lower(c))))).otherwise(F.transform("_core", lambda c: F.xxhash64(F.lower(c))))
-    v = F.when(F.col("_any"), F.transform("_core", lambda c, i: F.when(F.get("_k", i).isNotNull(), F.lower(c))))
-    df = df.select(*key, h.alias("_h"), v.alias("_v"), F.col("_any"))
-    values = lambda i: [F.get("_v", i + k) for k in range(WINDOW)]
-
-    def window(i: Column) -> Column:
-        n_slots = sum((v.isNotNull().cast("int") for v in values(i)), F.lit(0))
-        n_slots = F.when(F.col("_any"), n_slots).otherwise(0)
-        slots = F.when(n_slots > 0, F.concat_ws(" ", *(F.coalesce(v, F.lit("")) for v in values(i))))
-        return F.struct(i.alias("at"), F.xxhash64(*(F.get("_h", i + k) for k in range(WINDOW))).alias("hash"), slots.alias("slots"), (n_slots <= WINDOW - PLAIN).alias("ok"))
-
-    made = F.transform(F.sequence(F.lit(0), F.size("_h") - WINDOW), window)
-    return df.select(*key, F.explode(made).alias("x")).select(*key, "x.*").where("ok").drop("ok")
+    # Upper case folds what lower case doesn't (ß and SS).
+    df = df.withColumn("_plain", F.transform("_core", lambda c: F.xxhash64(F.upper(c)))).withColumn("_named", F.exists("_k", lambda k: k.eqNullSafe("<name>")))
+    hashed = lambda slot: F.transform("_plain", lambda x, i: F.when(slot(F.get("_k", i)), F.xxhash64(F.get("_k", i))).otherwise(x))
+    valued = lambda slot: F.transform("_core", lambda c, i: F.when(slot(F.get("_k", i)), F.upper(c)))
+    every, unnamed = (lambda k: k.isNotNull()), (lambda k: k.isNotNull() & (k != "<name>"))
+    df = df.select(
+        *key, "_plain", "_any", "_named",
+        F.when(F.col("_any"), hashed(every)).otherwise(F.col("_plain")).alias("_h"), F.when(F.col("_any"), valued(every)).alias("_v"),
+        F.when(F.col("_named"), hashed(unnamed)).otherwise(F.col("_h")).alias("_bh"), F.when(F.col("_named"), valued(unnamed)).otherwise(F.col("_v")).alias("_bv"),
+    )
+
+    at = F.sequence(F.lit(0), F.size("_plain") - WINDOW)
+    n_slots = lambda values: F.transform(at, lambda i: sum((F.get(values, i + k).isNotNull().cast("int") for k in range(WINDOW)), F.lit(0)))
+    df = df.withColumn("_n", F.when(F.col("_any"), n_slots("_v"))).withColumn("_bn", F.when(F.col("_named"), n_slots("_bv")).otherwise(F.col("_n")))
+
+    def window(i: Column, hashes: str, values: str | None, n: str | None, template: bool) -> Column:
+        slots = F.lit(None).cast("string")
+        if values:
+            slots = F.when(F.get(n, i) > 0, F.concat_ws(" ", *(F.coalesce(F.get(values, i + k), F.lit("")) for k in range(WINDOW))))
+        return F.struct(i.alias("at"), F.xxhash64(*(F.get(hashes, i + k) for k in range(WINDOW))).alias("hash"), slots.alias("slots"), F.lit(template).alias("template"))
+
+    few = WINDOW - PLAIN
+    # A window with names is made blind too, one with too many numbers also word for word.
+    made = F.transform(F.when(F.col("_any"), F.filter(at, lambda i: F.get("_n", i) <= few)).otherwise(at), lambda i: window(i, "_h", "_v", "_n", True))
+    blind = F.transform(F.filter(at, lambda i: (F.get("_bn", i) <= few) & (F.get("_n", i) > F.get("_bn", i))), lambda i: window(i, "_bh", "_bv", "_bn", False))
+    literal = F.transform(F.filter(at, lambda i: F.get("_bn", i) > few), lambda i: window(i, "_plain", None, None, False))
+    made = F.when(F.col("_named"), F.concat(made, blind, literal)).when(F.col("_any"), F.concat(made, literal)).otherwise(made)
+    return df.select(*key, F.explode(made).alias("x")).select(*key, "x.*")
 
 
 def _leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row for each text of a document, item and diagonal that is a leak."""
-    items = windows(benchmark, "item_id").withColumnsRenamed({"at": "item_at", "slots": "item_slots"})
-    sizes = items.groupBy("item_id").agg(F.count(F.lit(1)).alias("item_windows"))
+    items = windows(benchmark, "item_id").withColumnsRenamed({"at": "item_at", "slots": "item_slots", "template": "item_template"})
+    sizes = items.groupBy("item_id").agg(F.count_distinct("item_at").alias("item_windows"), F.count(F.when(F.col("item_template"), 1)).alias("item_templates"))
     items = items.join(sizes, items["item_id"].eqNullSafe(sizes["item_id"])).drop(sizes["item_id"])
     items = F.broadcast(items) if items.count() <= BROADCAST_ROWS else items
     hits = windows(docs.select("doc_id", "text", _text_id().alias("_id")), "doc_id", "_id").join(items, "hash").withColumn("diagonal", F.col("at") - F.col("item_at"))
-    on = ["doc_id", "_id", "item_id", "item_windows", "diagonal"]
+    on = ["doc_id", "_id", "item_id", "item_windows", "item_templates", "diagonal"]
     values = F.arrays_zip(F.split("item_slots", " ").alias("a"), F.split("slots", " ").alias("b"))
     slots = F.when(F.col("slots").isNotNull(), F.filter(values, lambda x: x["a"] != ""))
-    hits = hits.select(*on, "item_at", slots.alias("slots"))
+    hits = hits.select(*on, "item_at", slots.alias("slots"), (F.col("template") & F.col("item_template")).alias("template"))
     # Equal hits of repeated rows count once.
-    per = hits.groupBy(*on).agg(F.count_distinct("item_at").alias("n_windows"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("s"))
-    a, b = F.transform("s", lambda x: x["a"]), F.transform("s", lambda x: x["b"])
-    one_to_one = (F.size(F.array_distinct(a)) == F.size("s")) & (F.size(F.array_distinct(b)) == F.size("s"))
-    enough = F.least(F.ceil(F.col("item_windows") * SHARE), F.lit(RUN - WINDOW + 1))
-    return per.where((F.col("n_windows") >= enough) & one_to_one)
+    of_template = lambda c: F.when(F.col("template"), F.col(c))
+    per = hits.groupBy(*on).agg(*(
+        x for k, c in (("", F.col), ("_t", of_template))
+        for x in (F.size(F.collect_set(c("item_at"))).alias(f"n{k}"), F.array_distinct(F.flatten(F.collect_set(c("slots")))).alias(f"s{k}"))
+    ))
+
+    def consistent(s: str) -> Column:
+        a, b = F.transform(s, lambda x: x["a"]), F.transform(s, lambda x: x["b"])
+        return (F.size(F.array_distinct(a)) == F.size(s)) & (F.size(F.array_distinct(b)) == F.size(s))
+
+    enough = lambda n: F.least(F.ceil(F.col(n) * SHARE), F.lit(RUN - WINDOW + 1))
+    leak = ((F.col("n") >= enough("item_windows")) & consistent("s")) | ((F.col("n_t") > 0) & (F.col("n_t") >= enough("item_templates")) & consistent("s_t"))
+    return per.where(leak).withColumnRenamed("n", "n_windows")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

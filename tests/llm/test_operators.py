@@ -168,6 +168,20 @@ def test_decontamination(spark, sf_dir):
     assert want <= found
 
 
+def test_decontamination_is_blind_to_case(spark):
+    item = "A train leaves Springfield with 120 passengers and travels 300 km before Alice and another 120 people leave it at noon"
+    names = "yesterday Anna Berta Clara Dora Emil Frida Gustav Hans Ida Jonas met"
+    numbers = "add 1 2 3 4 5 6 7 8 9 10 11 12 13 14 up"
+    bench = spark.createDataFrame([(1, item), (2, names), (3, numbers), (4, "die große Straße nach Köln und weiter bis Bonn ist heute wieder gesperrt")], "item_id long, text string")
+    texts = [r["text"] for r in bench.collect()]
+    forms = [f for t in texts for f in (t, t.upper(), t.title(), t.lower(), "Some words. " + t.upper() + " MORE WORDS")]
+    other = item.upper().replace("120", "75").replace("300", "410")
+    torn = item.upper().replace("120", "75", 1)
+    docs = spark.createDataFrame(list(enumerate([*forms, other, torn, numbers.replace("7", "70")])), "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, bench).collect()}
+    assert got == {(5 * k + j, k + 1) for k in range(4) for j in range(5)} | {(20, 1)}
+
+
 def test_sharding_is_balanced(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     rows, texts = sharding.shard(docs, 7).collect(), {r["doc_id"]: (r["text"] or "").encode() for r in docs.collect()}
