@@ -8,8 +8,9 @@ is a word with its boundaries, each character written as eight bytes, so that a
 compressed length counts the pieces that a dictionary offers for it. A window's
 gain is how many bytes the toxic dictionary saves over the ordinary one; one that
 shares no four characters with toxic content has none and isn't compressed. The
-gains over a margin are summed, and margin and threshold are calibrated on
-labelled rows that trained no dictionary.
+gains over a margin are summed over 25 words in a row, and a text is judged by
+its densest such passage, so that a long clean text has no higher sum for its
+length. Margin and threshold are calibrated on such passages of labelled rows that trained no dictionary.
 
 Labels are learnt from rows whose CRC-32 of the doc_id as text isn't a multiple
 of five; of these, the first by digest up to `sample` rows of each class (a
@@ -45,6 +46,8 @@ SAMPLE, SAMPLE_BYTES = 2_000, 65_536
 ORDINARY_CHARS, TOXIC_CHARS, WIDE = 32_768, 4_096, 8
 #: Characteristic of toxic text: so many times as frequent there; calibration: an ordinary text judged toxic counts as so many missed toxic ones.
 RATIO, WRONG, MARGINS = 20, 4, 16
+#: Words of a passage, whose gains are summed.
+SPAN = 25
 #: Windows whose gains a worker keeps.
 KEPT = 500_000
 _WORD = re.compile(r"[^\W\d_]+")
@@ -107,7 +110,16 @@ class Model:
     threshold: float = 1e9
 
     def total(self, words: list[str], gains: Gains) -> float:
-        return float(sum(g - self.margin for g in map(gains.__getitem__, words) if g > self.margin))
+        """The gains over the margin in the densest SPAN words of the whole text: more text doesn't add up."""
+        most, some = 0, [(k, g - self.margin) for k, g in enumerate(map(gains.__getitem__, words)) if g > self.margin]
+        first = total = 0
+        for k, g in some:
+            total += g
+            while some[first][0] <= k - SPAN:
+                total -= some[first][1]
+                first += 1
+            most = max(most, total)
+        return float(most)
 
     def score(self, total: float) -> float:
         """Half at the threshold, near one far above it."""

@@ -254,6 +254,23 @@ def test_toxicity_held_out(spark):
     assert all(0 <= r["score"] <= 1 for r in rows)
 
 
+def test_toxicity_of_long_clean_texts():
+    import random
+
+    d = "/root/testdata/sf0.1"
+    rows = duckdb.sql(f"SELECT doc_id, text, max(toxic) FROM '{d}/documents.parquet' JOIN '{d}/labels.parquet' USING (doc_id) WHERE length(text) < 16000 GROUP BY ALL ORDER BY doc_id").fetchall()
+    model = toxicity.train([r for r in rows if r[0] % 5])
+    gains, rnd = toxicity.Gains(model.ordinary, model.toxic), random.Random(3)
+    total = lambda t: model.total(toxicity.plain_words(t), gains)
+    clean = [t for d, t, toxic in rows if d % 5 == 0 and not toxic and total(t) <= model.threshold]
+    for size in (100_000, 300_000, 1_000_000):
+        text = ""
+        while len(text) < size:
+            text += rnd.choice(clean) + "\n"
+        assert total(text) <= model.threshold, size
+        assert total(text + " stupid moron, worthless scum and pathetic loser") > model.threshold, size
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline
 
