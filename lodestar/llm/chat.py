@@ -6,7 +6,8 @@ arguments, optional depends_on) makes calls; a tool turn whose text has
 by conversation and id, calls are ordered topologically (a call after those it
 depends on, a result after its call), arguments are validated against the
 tools' schemas, and every message becomes canonical JSON (keys sorted, no
-spaces). One row a message, so that no conversation has to fit anywhere; the
+spaces). What an assistant says beside its calls is a message of rank -1; fields
+that aren't known, of it or of a result, are carried in `fields`. One row a message, so that no conversation has to fit anywhere; the
 order within a conversation is that of turn, rank and part.
 
 Cases. A null or unparsable text is an ordinary message of that text. A null
@@ -78,6 +79,16 @@ def _json(**fields: Column) -> Column:
     return F.to_json(F.struct(*(v.alias(k) for k, v in sorted(fields.items()))))
 
 
+def _others(*known: str) -> Column:
+    """The fields of the object in text beside the known ones, sorted, or null without any; the whole text as `raw` where it only parses leniently."""
+    kind = "map<string,variant>"
+    fields = F.map_filter(F.try_parse_json("text").cast(kind), lambda k, _: ~k.isin(*known))
+    fields = F.map_from_entries(F.transform(F.array_sort(F.map_keys(fields)), lambda k: F.struct(k, F.element_at(fields, k))))
+    raw = F.create_map(F.lit("raw"), F.to_variant_object(F.array("text"))).cast(kind)
+    fields = F.when(F.try_parse_json("text").isNull(), raw).otherwise(fields)
+    return F.when(F.size(fields) > 0, fields)
+
+
 def format_chat(messages: DataFrame, tools: dict[str, dict] | None = None) -> DataFrame:
     """conv_id, turn, rank, part, kind (message, call, result), call_id, status, valid, json."""
     tools = TOOLS if tools is None else tools
@@ -91,11 +102,16 @@ def format_chat(messages: DataFrame, tools: dict[str, dict] | None = None) -> Da
     plain = rows.where("coalesce(size(_calls), 0) <= 0 and _result is null")
     out = plain.select("conv_id", "turn", F.lit(0).alias("rank"), F.lit(0).alias("part"), F.lit("message").alias("kind"), F.lit(None).cast("string").alias("call_id"), F.lit("none").alias("status"), F.lit(True).alias("valid"), _json(role=F.col("role"), content=F.col("text")).alias("json"))
 
+    # What a turn with calls says, and its other fields, come before the calls.
+    said = rows.where("size(_calls) > 0").select("conv_id", "turn", F.from_json("text", "content string")["content"].alias("content"), _others("content", "tool_calls", "role").alias("fields"))
+    said = said.where("coalesce(content, '') <> '' or fields is not null")
+    out = out.unionByName(said.select("conv_id", "turn", F.lit(-1).alias("rank"), F.lit(0).alias("part"), F.lit("message").alias("kind"), F.lit(None).cast("string").alias("call_id"), F.lit("none").alias("status"), F.lit(True).alias("valid"), _json(role=F.lit("assistant"), content=F.coalesce("content", F.lit("")), fields=F.col("fields")).alias("json")))
+
     made = rows.where("size(_calls) > 0").select("conv_id", "turn", F.posexplode("_calls").alias("part", "c")).select("conv_id", "turn", "part", "c.*")
-    got = rows.where("_result is not null").select("conv_id", F.col("turn").alias("got_turn"), F.col("_result.tool_call_id").alias("id"), F.col("_result.content").alias("content"))
+    got = rows.where("_result is not null").select("conv_id", F.col("turn").alias("got_turn"), F.col("_result.tool_call_id").alias("id"), F.col("_result.content").alias("content"), _others("content", "tool_call_id", "role").alias("fields"))
     nth = lambda *by: F.row_number().over(Window.partitionBy("conv_id", "id").orderBy(*by))
     made = made.withColumn("_nth", nth("turn", "part"))
-    got = got.withColumn("_nth", nth("got_turn", "content"))
+    got = got.withColumn("_nth", nth("got_turn", "content", F.to_json("fields")))
     level = levels(made.where("_nth = 1"))
     made = made.join(level, ["conv_id", "id"], "left").withColumns({"level": F.coalesce("level", F.lit(-1)), "turn": F.coalesce("at", "turn")})
     first = made.where("_nth = 1").select("conv_id", "id", F.col("turn").alias("call_turn"), F.col("part").alias("call_part"), "level")
@@ -108,5 +124,5 @@ def format_chat(messages: DataFrame, tools: dict[str, dict] | None = None) -> Da
     linked = got.join(first, ["conv_id", "id"], "left")
     status = F.when(F.col("call_turn").isNull(), "orphan").when(F.col("_nth") > 1, "duplicate").otherwise("linked")
     at = F.col("call_turn").isNotNull()
-    results_out = linked.select("conv_id", F.when(at, F.col("call_turn")).otherwise(F.col("got_turn")).alias("turn"), F.when(at, 2 * F.greatest("level", F.lit(0)) + 1).otherwise(0).alias("rank"), F.coalesce("call_part", F.lit(0)).alias("part"), F.lit("result").alias("kind"), F.col("id").alias("call_id"), status.alias("status"), at.alias("valid"), _json(role=F.lit("tool"), tool_call_id=F.col("id"), content=F.col("content")).alias("json"))
+    results_out = linked.select("conv_id", F.when(at, F.col("call_turn")).otherwise(F.col("got_turn")).alias("turn"), F.when(at, 2 * F.greatest("level", F.lit(0)) + 1).otherwise(0).alias("rank"), F.coalesce("call_part", F.lit(0)).alias("part"), F.lit("result").alias("kind"), F.col("id").alias("call_id"), status.alias("status"), at.alias("valid"), _json(role=F.lit("tool"), tool_call_id=F.col("id"), content=F.col("content"), fields=F.col("fields")).alias("json"))
     return out.unionByName(calls_out).unionByName(results_out)

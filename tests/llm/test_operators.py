@@ -247,6 +247,14 @@ def test_chat(spark):
     assert got == [("message", None, "none", True), ("call", "a", "linked", False), ("call", "z", "pending", False), ("result", "a", "linked", True), ("call", "b", "pending", True), ("result", "q", "orphan", False), ("message", None, "none", True), ("message", None, "none", True)]
 
 
+def test_chat_keeps_what_is_said_beside_calls(spark):
+    rows = [(1, 0, "assistant", '{"content":"Let me look","tool_calls":[{"id":"a","name":"search","arguments":"{}"}],"z":{"b":[1]},"mood":"calm"}'), (1, 1, "tool", '{"tool_call_id":"a","content":"7","name":"search","is_error":true}')]
+    got = [(r["kind"], r["rank"], r["json"]) for r in chat.format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).orderBy("conv_id", "turn", "rank", "part").collect()]
+    assert [(k, n) for k, n, _ in got] == [("message", -1), ("call", 0), ("result", 1)]
+    assert got[0][2] == '{"content":"Let me look","fields":{"mood":"calm","z":{"b":[1]}},"role":"assistant"}'
+    assert got[2][2] == '{"content":"7","fields":{"is_error":true,"name":"search"},"role":"tool","tool_call_id":"a"}'
+
+
 def test_toxicity_held_out(spark):
     d = "/root/testdata/sf0.01"
     rows = toxicity.score(table(spark, d, "documents"), table(spark, d, "labels")).join(table(spark, d, "labels"), "doc_id").where("held_out").collect()
