@@ -102,12 +102,13 @@ def cutoffs(stats: DataFrame, labels: DataFrame, limit: float = 0.05, confidence
 def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", limit: float = 0.05, confidence: float = 0.05, max_strata: int = 10_000) -> DataFrame:
     """doc_id, the base counts, base_failed, kept, failed (the certified rules that reject it, comma-joined).
 
-    The cutoffs of the max_strata strata with most labels are broadcast; the
-    others certify nothing."""
+    The cutoffs of up to max_strata strata are broadcast; those of more are
+    joined by a shuffle."""
     stats = materialise(statistics(docs, stratum))
     best = cutoffs(stats, labels, limit, confidence).groupBy("stratum", "n").agg(*(F.min(F.when((F.col("rule") == r) & F.col("certified"), F.col("cutoff"))).alias(f"_cut_{r}") for r in RULES))
-    best = best.orderBy(F.desc("n"), "stratum").limit(max_strata).select(F.col("stratum").alias("_stratum"), *(f"_cut_{r}" for r in RULES))
-    df = stats.join(F.broadcast(best), stats["stratum"].eqNullSafe(best["_stratum"]), "left")
+    best = materialise(best.select(F.col("stratum").alias("_stratum"), *(f"_cut_{r}" for r in RULES)))
+    best = F.broadcast(best) if best.count() <= max_strata else best
+    df = stats.join(best, stats["stratum"].eqNullSafe(best["_stratum"]), "left")
     failed = F.concat_ws(",", *(F.when(F.col(a) > F.col(f"_cut_{r}") * F.col(b), F.lit(r)) for r, (a, b, _) in RULES.items()))
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     df = df.withColumns({"base_failed": base, "failed": failed})

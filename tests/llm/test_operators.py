@@ -148,6 +148,14 @@ def test_quality_guarantee(spark):
     assert bad == {5000: "symbols"}  # a stratum without labels rejects nothing
 
 
+def test_quality_of_more_strata_than_are_broadcast(spark):
+    good = " ".join(f"word{i}" for i in range(40))
+    docs = spark.createDataFrame([(2 * i + k, good.replace("word0", f"a{i}"), lang) for i in range(1500) for k, lang in enumerate(("en", None))] + [(5000 + k, " ".join(f"w{i}###" for i in range(40)), lang) for k, lang in enumerate(("en", None))], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i in range(3000)], "doc_id long, quality int")
+    for most in (1, 10_000):
+        assert {r["doc_id"]: r["failed"] for r in quality.judge(docs, labels, max_strata=most).where("not kept").collect()} == {5000: "symbols", 5001: "symbols"}
+
+
 def test_decontamination(spark, sf_dir):
     item = "A train leaves Springfield with 120 passengers and travels 300 km before Alice and another 120 people leave it at noon"
     other = item.replace("120", "75").replace("300", "410").replace("Alice", "Robert")
