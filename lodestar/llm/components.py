@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import counted, materialise
 
 
 def _state(edges: DataFrame) -> tuple[int, int]:
@@ -17,15 +17,18 @@ def components(edges: DataFrame) -> DataFrame:
     """edges: u, v (long). Returns u, v: each node but the least of its component, and that least one.
 
     Every round ends in the shared checkpoint folder; rounds grow with the
-    logarithm of a component's size. Nothing but a count and a checksum
-    reaches the driver, and a hub's edges meet in joins only, which Spark splits."""
+    logarithm of a component's size. Nothing but a count and a checksum reaches
+    the driver. The least neighbours have one row a node; they are aggregated
+    on the map side first, written, and broadcast up to a measured size. Beyond
+    it both sides of the join are plain shuffles, so that adaptive execution can
+    split a hub's edges by their bytes."""
     now = materialise(edges.where("u <> v").select("u", "v").distinct())
     state = _state(now)
     while state[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = counted(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = materialise(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        least = counted(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         now = materialise(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         before, state = state, _state(now)
