@@ -13,13 +13,17 @@ alone, and over all its windows with hits of every kind) and its slots are consi
 stand for equal values in the document, and different for different. So a
 question with other numbers is caught, and text that only has the form isn't.
 
-Cases. Null and empty texts have no windows, nor have items under eight words:
-they match nothing. A window with fewer than five plain words matches only as it
-is, whatever the case. Rows that share a
-doc_id, or have none, are judged each by its own text (told apart by a 64-bit
-digest, so no doc_id gathers in one task); leaks() names a doc_id and item once,
-by the best of its texts. Repeated items report each item_id. Other columns
-don't matter.
+An item of fewer than eight words has no window; it is found where a whole line
+of a text is the item, word for word and blind to case.
+
+Cases. Null, empty and blank texts and items match nothing. A window with fewer
+than five plain words matches only as it is, whatever the case. Very long texts
+are searched whole. Rows that share a doc_id, or have none, are judged each by
+its own text (told apart by a 128-bit digest, so no doc_id gathers in one task),
+and repeated rows alike; leaks() names a doc_id and item once, by the best of its
+texts and diagonals. Repeated items report each item_id, null ones too. No rows
+or no items: no leaks. Columns beside doc_id and text don't matter to leaks(),
+and without_leaks() returns them as they are.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, SPACE, counted, words
+from .common import SPACE, counted, materialise, same, text_digest, words
 
 WINDOW, PLAIN, SHARE, RUN = 8, 5, 0.5, 13
 # Units of measure.
@@ -42,16 +46,19 @@ def _kind(c: Column, i: Column) -> Column:
     return F.when(digit(c), F.when(c.rlike("^[0-9][0-9.,]*$"), "<number>")).when(digit(before), F.when(F.lower(c).isin(UNITS), "<unit>")).when(upper, F.when(inside, "<name>"))
 
 
-def _text_id() -> Column:
-    return F.xxhash64("text")
-
-
-def windows(docs: DataFrame, *key: str) -> DataFrame:
-    """The key columns, at, hash, slots (the values of placeholders by place, '' for plain words; null if all are plain), template (whether names are placeholders, if there are any)."""
-    plain = F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), rf"[^\p{{L}}\p{{N}}{SPACE}.,!?:;]+", "")
+def _cores(text: Column) -> tuple[Column, Column]:
+    """The words without symbols, and without outer punctuation too."""
+    plain = F.regexp_replace(F.coalesce(text, F.lit("")), rf"[^\p{{L}}\p{{N}}{SPACE}.,!?:;]+", "")
     # Punctuation that stands alone joins the word before it.
     plain = F.regexp_replace(plain, rf"[{SPACE}]+([.,!?:;])", "$1")
-    df = docs.select(*key, words(plain).alias("_words")).where(F.size("_words") >= WINDOW)
+    return words(plain), F.transform(words(plain), lambda w: F.btrim(w, F.lit(".,!?:;")))
+
+
+def _windows(docs: DataFrame, *key: str) -> DataFrame:
+    """The key columns, at, hash, kind of each window, and the values of the text's placeholders by word: _v, and _bv without names.
+
+    kind: t (template), b (names as plain words), l (word for word)."""
+    df = docs.select(*key, _cores(F.col("text"))[0].alias("_words")).where(F.size("_words") >= WINDOW)
     df = df.withColumn("_core", F.transform("_words", lambda w: F.btrim(w, F.lit(".,!?:;"))))
     df = df.withColumn("_k", F.transform("_core", _kind)).withColumn("_any", F.exists("_k", lambda k: k.isNotNull()))
     # Upper case folds what lower case doesn't (ß and SS).
@@ -62,38 +69,65 @@ def windows(docs: DataFrame, *key: str) -> DataFrame:
     df = df.select(
         *key, "_plain", "_any", "_named",
         F.when(F.col("_any"), hashed(every)).otherwise(F.col("_plain")).alias("_h"), F.when(F.col("_any"), valued(every)).alias("_v"),
-        F.when(F.col("_named"), hashed(unnamed)).otherwise(F.col("_h")).alias("_bh"), F.when(F.col("_named"), valued(unnamed)).otherwise(F.col("_v")).alias("_bv"),
+        F.when(F.col("_named"), hashed(unnamed)).alias("_bh"), F.when(F.col("_named"), valued(unnamed)).alias("_bv"),
     )
 
     at = F.sequence(F.lit(0), F.size("_plain") - WINDOW)
     n_slots = lambda values: F.transform(at, lambda i: sum((F.get(values, i + k).isNotNull().cast("int") for k in range(WINDOW)), F.lit(0)))
     df = df.withColumn("_n", F.when(F.col("_any"), n_slots("_v"))).withColumn("_bn", F.when(F.col("_named"), n_slots("_bv")).otherwise(F.col("_n")))
 
-    def window(i: Column, hashes: str, values: str | None, n: str | None, template: bool) -> Column:
-        slots = F.lit(None).cast("string")
-        if values:
-            slots = F.when(F.get(n, i) > 0, F.concat_ws(" ", *(F.coalesce(F.get(values, i + k), F.lit("")) for k in range(WINDOW))))
-        return F.struct(i.alias("at"), F.xxhash64(*(F.get(hashes, i + k) for k in range(WINDOW))).alias("hash"), slots.alias("slots"), F.lit(template).alias("template"))
+    def window(i: Column, hashes: str, kind: str) -> Column:
+        return F.struct(i.alias("at"), F.xxhash64(*(F.get(hashes, i + k) for k in range(WINDOW))).alias("hash"), F.lit(kind).alias("kind"))
 
     few = WINDOW - PLAIN
     # A window with names is made blind too, one with too many numbers also word for word.
-    made = F.transform(F.when(F.col("_any"), F.filter(at, lambda i: F.get("_n", i) <= few)).otherwise(at), lambda i: window(i, "_h", "_v", "_n", True))
-    blind = F.transform(F.filter(at, lambda i: (F.get("_bn", i) <= few) & (F.get("_n", i) > F.get("_bn", i))), lambda i: window(i, "_bh", "_bv", "_bn", False))
-    literal = F.transform(F.filter(at, lambda i: F.get("_bn", i) > few), lambda i: window(i, "_plain", None, None, False))
+    made = F.transform(F.when(F.col("_any"), F.filter(at, lambda i: F.get("_n", i) <= few)).otherwise(at), lambda i: window(i, "_h", "t"))
+    blind = F.transform(F.filter(at, lambda i: (F.get("_bn", i) <= few) & (F.get("_n", i) > F.get("_bn", i))), lambda i: window(i, "_bh", "b"))
+    literal = F.transform(F.filter(at, lambda i: F.get("_bn", i) > few), lambda i: window(i, "_plain", "l"))
     made = F.when(F.col("_named"), F.concat(made, blind, literal)).when(F.col("_any"), F.concat(made, literal)).otherwise(made)
-    return df.select(*key, F.explode(made).alias("x")).select(*key, "x.*")
+    df = df.select(*key, "_v", F.when(F.col("_named"), F.col("_bv")).otherwise(F.col("_v")).alias("_bv"), made.alias("_made"))
+    return df.select(*key, "_v", "_bv", F.explode("_made").alias("x")).select(*key, "_v", "_bv", "x.*")
+
+
+def _slots(at: str) -> Column:
+    """The values of a window's placeholders by place, null for plain words; a null array if it has none."""
+    cut = lambda values: F.transform(F.sequence(F.lit(0), F.lit(WINDOW - 1)), lambda k: F.get(values, F.col(at) + k))
+    slots = F.when(F.col("kind") == "t", cut("_v")).when(F.col("kind") == "b", cut("_bv"))
+    return F.when(F.exists(slots, lambda x: x.isNotNull()), slots)
+
+
+def windows(docs: DataFrame, *key: str) -> DataFrame:
+    """The key columns, at, hash, template, slots of each window."""
+    return _windows(docs, *key).select(*key, "at", "hash", (F.col("kind") == "t").alias("template"), _slots("at").alias("slots"))
+
+
+def _short(docs: DataFrame, benchmark: DataFrame) -> DataFrame | None:
+    """doc_id, _id, item_id of items under a window's words that are a whole line of a text; None without such items."""
+    name = lambda core: F.md5(F.upper(F.array_join(core, " ")))
+    of = lambda text: _cores(text)[1]
+    few = benchmark.select("item_id", of(F.col("text")).alias("_core")).where((F.size("_core") > 0) & (F.size("_core") < WINDOW))
+    few = few.select("item_id", name("_core").alias("_line"))
+    if few.isEmpty():
+        return None
+    lines = docs.select("doc_id", text_digest(F.col("text")).alias("_id"), F.explode(F.array_distinct(F.split("text", "\n"))).alias("_text"))
+    lines = lines.select("doc_id", "_id", of(F.col("_text")).alias("_core")).where((F.size("_core") > 0) & (F.size("_core") < WINDOW))
+    return lines.withColumn("_line", name("_core")).join(counted(few), "_line").select("doc_id", "_id", "item_id").distinct()
 
 
 def _leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row for each text of a document, item and diagonal that is a leak."""
-    items = windows(benchmark, "item_id").withColumnsRenamed({"at": "item_at", "slots": "item_slots", "template": "item_template"})
+    """doc_id, _id, item_id, item_windows, n_windows: a row for each text of a document, item and diagonal that is a leak."""
+    items = materialise(windows(benchmark, "item_id").withColumnsRenamed({"at": "item_at", "slots": "item_slots", "template": "item_template"}))
     sizes = items.groupBy("item_id").agg(F.count_distinct("item_at").alias("item_windows"), F.count(F.when(F.col("item_template"), 1)).alias("item_templates"))
-    items = items.join(sizes, items["item_id"].eqNullSafe(sizes["item_id"])).drop(sizes["item_id"])
-    items = F.broadcast(items) if items.count() <= BROADCAST_ROWS else items
-    hits = windows(docs.select("doc_id", "text", _text_id().alias("_id")), "doc_id", "_id").join(items, "hash").withColumn("diagonal", F.col("at") - F.col("item_at"))
+    # Equal windows of many items stand together, so that a window of a document meets one row.
+    items = same(items, sizes, ["item_id"]).groupBy("hash").agg(F.collect_list(F.struct("item_id", "item_at", "item_slots", "item_template", "item_windows", "item_templates")).alias("_items"))
+    items = counted(items)
+    # The slots of a document's window are made only where its hash is met.
+    made = _windows(docs.select("doc_id", "text", text_digest(F.col("text")).alias("_id")), "doc_id", "_id")
+    hits = made.join(items, "hash").select("doc_id", "_id", "at", (F.col("kind") == "t").alias("template"), _slots("at").alias("slots"), F.explode("_items").alias("i"))
+    hits = hits.select("doc_id", "_id", "at", "template", "slots", "i.*").withColumn("diagonal", F.col("at") - F.col("item_at"))
     on = ["doc_id", "_id", "item_id", "item_windows", "item_templates", "diagonal"]
-    values = F.arrays_zip(F.split("item_slots", " ").alias("a"), F.split("slots", " ").alias("b"))
-    slots = F.when(F.col("slots").isNotNull(), F.filter(values, lambda x: x["a"] != ""))
+    values = F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b"))
+    slots = F.when(F.col("slots").isNotNull() & F.col("item_slots").isNotNull(), F.filter(values, lambda x: x["a"].isNotNull()))
     hits = hits.select(*on, "item_at", slots.alias("slots"), (F.col("template") & F.col("item_template")).alias("template"))
     # Equal hits of repeated rows count once.
     of_template = lambda c: F.when(F.col("template"), F.col(c))
@@ -108,7 +142,9 @@ def _leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     enough = lambda n: F.least(F.ceil(F.col(n) * SHARE), F.lit(RUN - WINDOW + 1))
     leak = ((F.col("n") >= enough("item_windows")) & consistent("s")) | ((F.col("n_t") > 0) & (F.col("n_t") >= enough("item_templates")) & consistent("s_t"))
-    return per.where(leak).withColumnRenamed("n", "n_windows")
+    out = per.where(leak).select("doc_id", "_id", "item_id", F.col("n").alias("n_windows"), "item_windows")
+    short = _short(docs, benchmark)
+    return out if short is None else out.unionByName(short.select("doc_id", "_id", "item_id", F.lit(1).alias("n_windows"), F.lit(1).cast("long").alias("item_windows")))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -118,5 +154,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs whose text holds no item."""
-    bad = counted(_leaks(docs, benchmark).select(F.col("doc_id").alias("_bad"), F.col("_id").alias("_bad_id")).distinct())
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]) & (_text_id() == bad["_bad_id"]), "left_anti")
+    bad = counted(_leaks(docs, benchmark).select(F.col("_id").alias("_bad")).distinct())
+    whole = docs.select(F.struct(*(f"`{c}`" for c in docs.columns)).alias("_row"))
+    return whole.join(bad, text_digest(F.col("_row.text")) == bad["_bad"], "left_anti").select("_row.*")

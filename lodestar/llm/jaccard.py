@@ -202,10 +202,11 @@ def _blocks(member: DataFrame, threshold: float) -> DataFrame:
     Sizes of linked texts differ by the threshold at most, so blocks are made
     within bands of sizes, and a band meets only itself and its neighbours."""
     member = member.withColumn("band", F.floor(F.log(F.col("size").cast("double")) / F.lit(-float(np.log(threshold)))).cast("int"))
-    bands = member.groupBy("comp", "band").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    bands = materialise(member.groupBy("comp", "band").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("blocks")))
     near = bands.select("comp", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), F.struct(F.col("band").alias("of"), "blocks").alias("x"))
     near = near.groupBy("comp", "band").agg(F.collect_list("x").alias("near"))  # three entries at most
-    member = member.join(bands, ["comp", "band"]).join(near, ["comp", "band"])
+    near = bands.join(near, ["comp", "band"])
+    member = member.join(counted(near), ["comp", "band"])  # a row a band: texts of one component stay where they are
     side = F.struct("band", F.expr("cast(pmod(xxhash64(rep), blocks) as int)").alias("k"))
     others = F.flatten(F.transform("near", lambda x: F.transform(F.sequence(F.lit(0), x["blocks"] - 1), lambda k: F.struct(x["of"].alias("band"), k.alias("k")))))
     return member.select("rep", "comp", "copies", "text_id", side.alias("side"), others.alias("others"))

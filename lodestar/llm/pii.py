@@ -1,18 +1,20 @@
 """Personal data by anchor expansion.
 
-One Aho-Corasick pass over a text finds anchors: at-signs, plus signs and
-digits, scheme marks, and words that announce an identifier. From each anchor a
+One Aho-Corasick pass over a text, with A-Z as a-z, finds anchors: at-signs, plus
+signs and digits, scheme marks, and words that announce an identifier. From each anchor a
 small deterministic parser walks outwards and checks what it found; every
 parser is linear in the text. Spans are in code points, ends exclusive.
 
 Base kinds (email, ip, card, phone) follow fixed patterns, leftmost and
 non-overlapping per kind, failing matches dropped. The method adds url (after a
 scheme mark), account (an identifier of 8 to 34 letters and digits, four digits
-at the least, after a cue) and secret (a value of 16 characters or more after a
-cue such as `token =`).
+at the least, after a cue) and secret (a value of 16 characters or more, of any
+length, after a cue such as `token =`).
 
-Cases. A null or empty text has no spans and the digest of the empty string.
-Repeated rows are searched alike. Columns beside doc_id and text don't matter.
+Cases. A null or empty text has no spans and the digest of the empty string. Very
+long texts and values are searched whole. Spans of different kinds may overlap;
+of one kind the leftmost counts. Repeated rows are searched alike. No rows: no
+result. Columns beside doc_id and text don't matter.
 """
 
 from __future__ import annotations
@@ -30,15 +32,16 @@ ship(__name__)
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "url", "account", "secret")
-# Cues, in lower and upper case and capitalised.
+# Cues, found in any case.
 ACCOUNT_CUES = ("iban", "account", "acct", "konto", "compte", "cuenta", "passport", "ssn")
-SECRET_CUES = ("token", "api_key", "apikey", "secret", "password", "passwd")
+SECRET_CUES = ("token", "api_key", "api key", "api-key", "apikey", "secret", "password", "passwd")
 
 DIGITS = frozenset("0123456789")
 ALNUM = frozenset("0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
 LOCAL = ALNUM | frozenset("._%+-")
 LABEL = ALNUM | frozenset("-")
 PHONE = DIGITS | frozenset(" ().-")
+FOLD = {ord(c): ord(c.lower()) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
 URL_STOP = frozenset(" \t\n\x0b\x0c\r\"'<>`{}|\\^")
 
 
@@ -53,8 +56,7 @@ def _automaton():
     a.add_word("://", ("url", 3))
     for kind, cues in (("account", ACCOUNT_CUES), ("secret", SECRET_CUES)):
         for cue in cues:
-            for word in (cue, cue.upper(), cue.capitalize()):
-                a.add_word(word, (kind, len(word)))
+            a.add_word(cue, (kind, len(cue)))
     a.make_automaton()
     return a
 
@@ -150,7 +152,7 @@ def _url(text: str, mark: int, low: int) -> tuple[int, int] | None:
 #: A group of letters and digits: it has a digit, or is four capitals (a bank's code) before one that starts with a digit.
 _GROUP = r"(?:(?=[A-Za-z]{0,33}[0-9])|(?=[A-Z]{4}[ -][0-9]))[A-Za-z0-9]{1,34}(?![A-Za-z0-9])"
 _ACCOUNT = re.compile(rf"(?:[ \t]{{0,8}}(?:no|nr|number)\b\.?)?[ \t]{{0,8}}[:=#]?[ \t]{{0,8}}({_GROUP}(?:[ -]{_GROUP}){{0,33}})")
-_SECRET = re.compile(r"[ \t]*[:=][ \t]*[\"']?([A-Za-z0-9+/_\-]{16,4096})")
+_SECRET = re.compile(r"[ \t]*[:=][ \t]*[\"']?([A-Za-z0-9+/_\-]{16,})")
 
 
 def find(text: str, automaton) -> dict[str, list[tuple[int, int]]]:
@@ -158,7 +160,10 @@ def find(text: str, automaton) -> dict[str, list[tuple[int, int]]]:
     out: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
     low = dict.fromkeys(KINDS, 0)  # no span of a kind starts before its last one's end
     run_end = 0
-    for last, (kind, size) in automaton.iter(text):
+    folded = text.lower()
+    if len(folded) != len(text):  # some letters have lower cases of several characters, which would shift what follows
+        folded = text.translate(FOLD)
+    for last, (kind, size) in automaton.iter(folded):
         at = last - size + 1
         if kind == "digit":
             if at >= low["card"]:
@@ -196,19 +201,20 @@ def joined(spans: dict[str, list[tuple[int, int]]], kinds: tuple[str, ...]) -> s
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_url, n_account, n_secret."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = _automaton()
         for batch in batches:
-            counts, digests, spans = [[] for _ in BASE], [], []
+            counts, digests, spans = [[] for _ in KINDS], [], []
             for text in batch.column(1):
                 found = find(text.as_py() or "", automaton)
-                for c, k in zip(counts, BASE, strict=True):
+                for c, k in zip(counts, KINDS, strict=True):
                     c.append(len(found[k]))
                 digests.append(hashlib.sha256(joined(found, BASE).encode()).hexdigest())
                 spans.append(joined(found, KINDS))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(digests, pa.string()), pa.array(spans, pa.string())], names=["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans"])
+            numbers, n = [pa.array(c, pa.int64()) for c in counts], len(BASE)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *numbers[:n], pa.array(digests, pa.string()), pa.array(spans, pa.string()), *numbers[n:]], names=["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans", *(f"n_{k}" for k in KINDS[n:])])
 
     rows = docs.select("doc_id", "text")
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_url long, n_account long, n_secret long")

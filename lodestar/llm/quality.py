@@ -1,26 +1,34 @@
 """Quality rules whose cutoffs come with a guarantee.
 
-For every stratum (language) and rule, labelled good documents that no cutoff
-was fitted on are counted above each cutoff of a fixed grid. A cutoff is
-certified if the exact binomial tail P(Bin(n, limit) <= rejected) is at most
-confidence / number of tests (Bonferroni over strata, rules and cutoffs): then,
-all guarantees at once, each certified rule rejects at most `limit` of the
-stratum's good documents with probability 1 - confidence. The strictest
-certified cutoff of a rule is used; the limit of a stratum is split evenly
-between the rules. A stratum with too few labels certifies nothing and keeps all.
-
-Cases. A null or empty text has zero counts and fails the base rules. A null
-stratum is one of its own. A document labelled several times counts once, as
-good if any label says so. Without labels every document that passes the base
-rules is kept. Columns beside doc_id, text and the stratum don't matter.
+The cutoffs of all rules form one path from lenient to strict: at step j the
+rules have been tightened in turn, rule by rule and level by level. A document's
+step is the first at which a rule rejects it. In every stratum (language) the
+good labelled documents that pass the base rules, on which no cutoff was fitted,
+are counted up to each step, and the steps are tested in this fixed order: step j
+is certified if it and all before it have an exact binomial tail
+P(Bin(n, limit) <= rejected) of at most confidence / number of strata. A fixed
+sequence that ends at its first failure needs no further correction over its
+steps, so Bonferroni is over the strata alone. Then, in all strata at once, the
+rules together reject at most `limit` of the good documents with probability
+1 - confidence. The strictest certified step is used. A stratum with too few
+labels (86 at four strata) certifies nothing and keeps all.
+
+Labelled documents of equal text count once: copies aren't independent trials.
+
+Cases. A null or empty text has zero counts and fails the base rules; a very
+long one is counted whole. A null stratum is one of its own. A document labelled
+several times, and a text whose copies are labelled, counts once, as good if any
+label says so. Ratios equal to a cutoff pass. Repeated rows are judged alike.
+Without labels every document that passes the base rules is kept. No rows: no
+result. Columns beside doc_id, text and the stratum don't matter.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, materialise, words
+from .common import SPACE, counted, materialise, same, text_digest, words
 
 WINDOW = 5
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
@@ -54,12 +62,12 @@ def _repeat_words(df: DataFrame) -> DataFrame:
 
 
 def statistics(docs: DataFrame, stratum: str = "lang") -> DataFrame:
-    """doc_id, stratum and the counts of each whole text."""
+    """doc_id, stratum, text_id and the counts of each whole text."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    df = docs.select("doc_id", F.col(stratum).alias("stratum"), text.alias("_text"), words(text).alias("_words"))
+    df = docs.select("doc_id", F.col(stratum).alias("stratum"), text_digest(text).alias("text_id"), text.alias("_text"), words(text).alias("_words"))
     df = df.withColumn("_lines", F.filter(F.split("_text", "\n"), lambda x: x.rlike(f"[^{SPACE}]")))
     df = df.select(
-        "doc_id", "stratum", "_words",
+        "doc_id", "stratum", "text_id", "_words",
         F.size("_words").cast("long").alias("n_words"),
         F.char_length(F.array_join("_words", "")).cast("long").alias("word_chars"),
         F.regexp_count("_text", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
@@ -86,30 +94,54 @@ def binomial_tail(n: Column, k: Column, p: float) -> Column:
     return F.when(k >= n * p, F.lit(1.0)).otherwise(F.aggregate(some, first, term, lambda a: a["s"]))
 
 
-def cutoffs(stats: DataFrame, labels: DataFrame, limit: float = 0.05, confidence: float = 0.05) -> DataFrame:
-    """One row for each stratum, rule and cutoff: n, rejected, tail, certified."""
-    good = labels.groupBy("doc_id").agg(F.max("quality").alias("_good")).where("_good = 1").select(F.col("doc_id").alias("_id"))
-    held = stats.join(good, stats["doc_id"] == good["_id"])
-    counts = [F.sum(F.when(F.col(a) > F.lit(c) * F.col(b), 1).otherwise(0)).alias(f"{r}_{i}") for r, (a, b, grid) in RULES.items() for i, c in enumerate(grid)]
-    by = held.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *counts)
-    cells = F.array(*(F.struct(F.lit(r).alias("rule"), F.lit(c).alias("cutoff"), F.col(f"{r}_{i}").alias("rejected")) for r, (_, _, grid) in RULES.items() for i, c in enumerate(grid)))
-    rows = by.select("stratum", "n", F.explode(cells).alias("x")).select("stratum", "n", "x.*")
-    tests = F.count(F.lit(1)).over(Window.partitionBy())  # strata x rules x cutoffs, no more rows than that
-    rows = rows.withColumn("tests", tests).withColumn("tail", binomial_tail(F.col("n"), F.col("rejected"), limit / len(RULES)))
-    return rows.withColumn("certified", F.col("tail") <= F.lit(confidence) / F.col("tests"))
+#: (rule, cutoff) of each step of the path, from 1.
+PATH = [(r, RULES[r][2][level]) for level in range(8) for r in RULES]
+
+
+def _base_failed() -> Column:
+    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
 
 
-def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", limit: float = 0.05, confidence: float = 0.05, max_strata: int = 10_000) -> DataFrame:
-    """doc_id, the base counts, base_failed, kept, failed (the certified rules that reject it, comma-joined).
+def first_step() -> Column:
+    """The first step of the path at which a row of statistics() is rejected; null if none does."""
+    hits = [F.when(F.col(RULES[r][0]) > F.lit(c) * F.col(RULES[r][1]), F.lit(j)) for j, (r, c) in enumerate(PATH, 1)]
+    return F.coalesce(*hits)
 
-    The cutoffs of up to max_strata strata are broadcast; those of more are
-    joined by a shuffle."""
+
+def certified(stats: DataFrame, labels: DataFrame, limit: float = 0.05, confidence: float = 0.05) -> DataFrame:
+    """One row a stratum with labelled good documents: stratum, n (of them), certified (the last certified step, 0 for none).
+
+    stats has step and base_failed besides the columns of statistics()."""
+    good = labels.groupBy("doc_id").agg(F.max("quality").alias("_good")).where("_good = 1").select(F.col("doc_id").alias("_id"))
+    held = stats.where("not base_failed").join(good, stats["doc_id"] == good["_id"])
+    held = held.groupBy("stratum", "text_id").agg(F.min("step").alias("step"))  # of equal texts one
+    by = held.groupBy("stratum", "step").agg(F.count(F.lit(1)).alias("k"))
+    by = by.groupBy("stratum").agg(F.sum("k").alias("n"), F.map_from_entries(F.collect_list(F.when(F.col("step").isNotNull(), F.struct("step", "k")))).alias("at"))  # an entry a step at most
+    strata = materialise(by)
+    tests = strata.agg(F.count(F.lit(1)).alias("strata"))  # one row
+    rows = strata.join(F.broadcast(tests), how="left")
+    none = F.lit(0).cast("long")
+
+    def walk(a: Column, j: Column) -> Column:
+        k = a["k"] + F.coalesce(F.try_element_at("at", j), none)
+        good = a["open"] & (binomial_tail(F.col("n"), k, limit) <= F.lit(confidence) / F.col("strata"))
+        return F.struct(k.alias("k"), good.alias("open"), F.when(good, j).otherwise(a["last"]).alias("last"))
+
+    start = F.struct(none.alias("k"), F.lit(True).alias("open"), F.lit(0).alias("last"))
+    steps = F.sequence(F.lit(1), F.lit(len(PATH)))
+    return rows.select("stratum", "n", F.aggregate(steps, start, walk, lambda a: a["last"]).alias("certified"))
+
+
+def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", limit: float = 0.05, confidence: float = 0.05, max_strata: int | None = None) -> DataFrame:
+    """doc_id, the base counts, base_failed, kept, failed (the certified rule that first rejects it, or empty).
+
+    Certified steps are broadcast up to a measured size (max_strata rows, if
+    given); those of more strata are joined by a shuffle."""
+    # Written in between: the optimiser would carry each count's whole expression into every step of the path.
     stats = materialise(statistics(docs, stratum))
-    best = cutoffs(stats, labels, limit, confidence).groupBy("stratum", "n").agg(*(F.min(F.when((F.col("rule") == r) & F.col("certified"), F.col("cutoff"))).alias(f"_cut_{r}") for r in RULES))
-    best = materialise(best.select(F.col("stratum").alias("_stratum"), *(f"_cut_{r}" for r in RULES)))
-    best = F.broadcast(best) if best.count() <= max_strata else best
-    df = stats.join(best, stats["stratum"].eqNullSafe(best["_stratum"]), "left")
-    failed = F.concat_ws(",", *(F.when(F.col(a) > F.col(f"_cut_{r}") * F.col(b), F.lit(r)) for r, (a, b, _) in RULES.items()))
-    base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    df = df.withColumns({"base_failed": base, "failed": failed})
+    stats = materialise(stats.withColumns({"base_failed": _base_failed(), "step": first_step()}))
+    df = same(stats, counted(certified(stats, labels, limit, confidence).select("stratum", "certified"), max_strata), ["stratum"], "left")
+    rule = F.element_at(F.array(*(F.lit(r) for r, _ in PATH)), F.col("step"))
+    failed = F.coalesce(F.when(F.col("step") <= F.col("certified"), rule), F.lit(""))
+    df = df.withColumn("failed", failed)
     return df.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.col("failed") == "")).alias("kept"), "failed")
