@@ -71,7 +71,6 @@ def _windows(docs: DataFrame, *key: str) -> DataFrame:
         F.when(F.col("_any"), hashed(every)).otherwise(F.col("_plain")).alias("_h"), F.when(F.col("_any"), valued(every)).alias("_v"),
         F.when(F.col("_named"), hashed(unnamed)).alias("_bh"), F.when(F.col("_named"), valued(unnamed)).alias("_bv"),
     )
-
     at = F.sequence(F.lit(0), F.size("_plain") - WINDOW)
     n_slots = lambda values: F.transform(at, lambda i: sum((F.get(values, i + k).isNotNull().cast("int") for k in range(WINDOW)), F.lit(0)))
     df = df.withColumn("_n", F.when(F.col("_any"), n_slots("_v"))).withColumn("_bn", F.when(F.col("_named"), n_slots("_bv")).otherwise(F.col("_n")))
@@ -86,7 +85,8 @@ def _windows(docs: DataFrame, *key: str) -> DataFrame:
     literal = F.transform(F.filter(at, lambda i: F.get("_bn", i) > few), lambda i: window(i, "_plain", "l"))
     made = F.when(F.col("_named"), F.concat(made, blind, literal)).when(F.col("_any"), F.concat(made, literal)).otherwise(made)
     df = df.select(*key, "_v", F.when(F.col("_named"), F.col("_bv")).otherwise(F.col("_v")).alias("_bv"), made.alias("_made"))
-    return df.select(*key, "_v", "_bv", F.explode("_made").alias("x")).select(*key, "_v", "_bv", "x.*")
+    # Outer: else the optimiser adds a filter on the array's size, with all of its making, below everything.
+    return df.select(*key, "_v", "_bv", F.explode_outer("_made").alias("x")).where("x is not null").select(*key, "_v", "_bv", "x.*")
 
 
 def _slots(at: str) -> Column:

@@ -1,33 +1,40 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained: one on ordinary text, one on what is
-characteristic of toxic text (words of toxic documents with runs of character
-four-grams that ordinary ones hardly have). The toxic compressor has the
-ordinary content too, so that plain text compresses alike with both. A window
-is a word with its boundaries, each character written as eight bytes, so that a
-compressed length counts the pieces that a dictionary offers for it. A window's
-gain is how many bytes the toxic dictionary saves over the ordinary one; one that
-shares no four characters with toxic content has none and isn't compressed. The
-gains over a margin are summed over 25 words in a row, and a text is judged by
-its densest such passage, so that a long clean text has no higher sum for its
-length. Margin and threshold are calibrated on such passages of labelled rows that trained no dictionary.
+Two dictionaries are trained by zstandard's trainer: one on ordinary texts, one
+on what toxic texts have and the ordinary ones of the sample never do. A text is
+the stream of its words, each written as a code of twelve bytes, so that a
+compressed length counts the words that a dictionary lacks and not their
+letters. The toxic compressor has the ordinary dictionary and the toxic one, so
+that plain text compresses alike with both. Every window of 16 words of the
+whole text is compressed with both; its gain is how many bytes the toxic
+dictionary saves, and a text is judged by its best window.
+
+A long text has many windows in which a word may be known by chance. How often
+an ordinary window has such a hit is measured, and the gain that a text needs
+grows with the logarithm of its windows accordingly, so that clean texts of any
+length are left alone. The size of the toxic dictionary and the threshold are
+calibrated on labelled rows that trained no dictionary: a clean text judged
+toxic weighs as much as WRONG toxic ones missed.
 
 Labels are learnt from rows whose CRC-32 of the doc_id as text isn't a multiple
 of five; of these, the first by digest up to `sample` rows of each class (a
-documented bound) and texts up to `sample_bytes` are fitted on. Every whole
-text of the table is scored.
+documented bound) among texts up to `sample_bytes`. Every whole text of the
+table is scored.
 
 Cases. A null or empty text has no window and the least score. A label whose
 document is missing is left out; a document labelled twice is toxic if any
-label says so. Without labels of both classes every score is the least one.
-Repeated rows score alike. Columns beside doc_id and text don't matter.
+label says so, and rows that share a doc_id are learnt from each with its text. A
+null doc_id isn't held out, as it has no label. Without labels of both classes
+every score is the least one. Very long texts are scored whole, window by
+window. Repeated rows score alike, a score of exactly 0.5 counts as toxic. No
+rows: no result. Columns beside doc_id and text don't matter to score(), and
+without_toxic() returns them as they are.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,187 +43,147 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import counted, ship, text_digest
 
 ship(__name__)
 
 FOLDS = 5
-SAMPLE, SAMPLE_BYTES = 2_000, 65_536
-#: Characters of the dictionaries' contents, bytes of a character in a window.
-ORDINARY_CHARS, TOXIC_CHARS, WIDE = 32_768, 4_096, 8
-#: Characteristic of toxic text: so many times as frequent there; calibration: an ordinary text judged toxic counts as so many missed toxic ones.
-RATIO, WRONG, MARGINS = 20, 4, 16
-#: Words of a passage, whose gains are summed.
-SPAN = 25
-#: Windows whose gains a worker keeps.
+#: Rows learnt from, ordinary and toxic, and the bytes of their texts: at most 164 MB reach the driver.
+SAMPLE, SAMPLE_BYTES = (8_000, 2_000), 16_384
+#: Bytes of a word's code, words of a window, bytes of the ordinary dictionary and tried for the toxic one.
+CODE, SPAN, ORDINARY, TOXIC = 12, 16, 393_216, (1_024, 1_536, 2_048, 3_072, 4_096)
+#: The gain of one known word; what a clean text judged toxic weighs; of the rows every so many calibrates.
+HIT, WRONG, CALIBRATES = 8, 8, 4
+#: Codes that a worker keeps.
 KEPT = 500_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
 def held_out(doc_id: Column) -> Column:
-    return F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
-def plain_words(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+class Codes(dict):
+    """A code for each word, unlike those of others."""
 
-
-class _Codes(dict):
-    """Eight bytes for each character, unlike those of any other."""
-
-    def __missing__(self, c: str) -> bytes:
+    def __missing__(self, word: str) -> bytes:
         import xxhash
 
-        self[c] = code = xxhash.xxh64_digest(c.encode("utf-8", "surrogatepass"))[:WIDE]
+        if len(self) > KEPT:
+            self.clear()
+        self[word] = code = xxhash.xxh128_digest(word.encode("utf-8", "surrogatepass"))[:CODE]
         return code
 
+    def of(self, text: str | None) -> list[bytes]:
+        return list(map(self.__getitem__, _WORD.findall((text or "").lower())))
+
 
-class Gains(dict):
-    """Of each word, how many bytes the toxic dictionary saves over the ordinary one."""
+class Compressors:
+    """The ordinary and the toxic one. zstandard's dictionaries are made here, from their content."""
 
-    def __init__(self, ordinary: str, toxic: str):
+    def __init__(self, ordinary: bytes, toxic: bytes):
         import zstandard as z
 
-        super().__init__()
-        self.codes = _Codes()
-        self.known = {g for w in toxic.split() for g in _grams(w)}
-        how = z.ZstdCompressionParameters(window_log=20, chain_log=16, hash_log=16, search_log=5, min_match=4, target_length=64, strategy=z.STRATEGY_BTOPT, write_content_size=0, write_checksum=0, write_dict_id=0)
+        how = z.ZstdCompressionParameters(window_log=22, chain_log=17, hash_log=17, search_log=4, min_match=6, target_length=16, strategy=z.STRATEGY_LAZY2, write_content_size=0, write_checksum=0, write_dict_id=0)
         self.made = []
-        for content in (ordinary, f"{ordinary} {toxic} "):
-            d = z.ZstdCompressionDict(self.wide(content), dict_type=z.DICT_TYPE_RAWCONTENT)
+        for content in (ordinary, ordinary + toxic):
+            d = z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(compression_params=how)
-            self.made.append(z.ZstdCompressor(dict_data=d, compression_params=how))
+            self.made.append(z.ZstdCompressor(dict_data=d, compression_params=how).compress)
 
-    def wide(self, text: str) -> bytes:
-        return b"".join(map(self.codes.__getitem__, text))
-
-    def __missing__(self, word: str) -> int:
-        if len(self) > KEPT:
-            self.clear()
-        gain = 0
-        if not self.known.isdisjoint(_grams(word)):
-            window = self.wide(f" {word} ")
-            a, b = (len(c.compress(window)) for c in self.made)
-            gain = a - b
-        self[word] = gain
-        return gain
+    def gains(self, codes: list[bytes]) -> list[int]:
+        """Of each window, how many bytes the toxic dictionary saves."""
+        plain, toxic = self.made
+        windows = (b"".join(codes[at : at + SPAN]) for at in range(0, len(codes), SPAN))
+        return [len(plain(w)) - len(toxic(w)) for w in windows]
 
 
 @dataclass
 class Model:
-    ordinary: str
-    toxic: str
-    margin: int = 0
+    ordinary: bytes = b"\0" * 8
+    toxic: bytes = b""
+    slope: float = 0.0  # gain for each e-fold of windows
     threshold: float = 1e9
 
-    def total(self, words: list[str], gains: Gains) -> float:
-        """The gains over the margin in the densest SPAN words of the whole text: more text doesn't add up."""
-        most, some = 0, [(k, g - self.margin) for k, g in enumerate(map(gains.__getitem__, words)) if g > self.margin]
-        first = total = 0
-        for k, g in some:
-            total += g
-            while some[first][0] <= k - SPAN:
-                total -= some[first][1]
-                first += 1
-            most = max(most, total)
-        return float(most)
-
-    def score(self, total: float) -> float:
-        """Half at the threshold, near one far above it."""
-        return float(1 / (1 + np.exp(-4 * (total - self.threshold) / max(self.threshold, 1.0))))
-
-
-def _trained(samples: list[bytes], size: int) -> str:
-    """The content of a dictionary trained on the samples, without its header; the end of the samples where they are too few."""
-    import zstandard as z
+    def compressors(self) -> Compressors:
+        return Compressors(self.ordinary, self.toxic)
 
-    try:
-        content = z.train_dictionary(size, samples, k=64, d=6, level=6).as_bytes()[-size:]
-    except (z.ZstdError, MemoryError):
-        content = b" ".join(samples)[-size:]
-    return content.decode("utf-8", "ignore")
-
-
-def _grams(word: str) -> list[str]:
-    w = f" {word} "
-    return [w[i : i + 4] for i in range(len(w) - 3)]
-
-
-def characteristic(plain: list[list[str]], bad: list[list[str]]) -> list[list[str]]:
-    """For each toxic text, its words with two characteristic four-grams in a row.
+    def value(self, gains: list[int]) -> float:
+        """The best window's gain, less what the number of windows makes likely by chance."""
+        return max(gains) - self.slope * float(np.log(len(gains))) if gains else -1e6
 
-    A four-gram is characteristic if it is in three toxic texts at least and in
-    a share of them over RATIO times that of ordinary ones."""
-    seen = [Counter(g for ws in texts for g in {g for w in set(ws) for g in _grams(w)}) for texts in (plain, bad)]
-    least = max(3, len(bad) // 200)
-    known = {g for g, n in seen[1].items() if n >= least and n / len(bad) > RATIO * (seen[0][g] + 0.3) / len(plain)}
+    def score(self, value: float) -> float:
+        """Half at the threshold."""
+        return float(1 / (1 + np.exp(np.clip((self.threshold - value) / 2, -50, 50))))
 
-    def marked(word: str) -> bool:
-        hits = [g in known for g in _grams(word)]
-        return any(x and y for x, y in zip(hits, hits[1:], strict=False))
-
-    return [[w for w in ws if marked(w)] for ws in bad]
 
+def _trained(samples: list[bytes], size: int) -> bytes:
+    """A dictionary that zstandard trained on the samples; the samples themselves where they are too few for it."""
+    import zstandard as z
 
-def _toxic_content(odd: list[list[str]]) -> str:
-    """The characteristic words, in more texts the nearer to the end."""
-    counts = Counter(w for ws in odd for w in set(ws))
-    return " ".join(w for w, _ in sorted(counts.items(), key=lambda x: (x[1], x[0])))[-TOXIC_CHARS:]
+    try:
+        return z.train_dictionary(size, samples, k=16, d=8, level=3).as_bytes()
+    except (z.ZstdError, MemoryError):
+        return b"".join(samples)[-size:]
 
 
 def train(rows: list[tuple[int, str, int]]) -> Model:
-    """rows: doc_id, text, toxic. Every third row calibrates, the others train."""
-    seen: dict[str, tuple[str, int]] = {}
-    for _, text, toxic in sorted(rows, key=lambda r: zlib.crc32(f"train:{r[0]}".encode())):
-        seen.setdefault(text, (text, toxic))
-    known = [(plain_words(t), toxic) for t, toxic in seen.values()]
-    fit, held = [r for k, r in enumerate(known) if k % 3], known[::3]
-    plain, bad = ([ws for ws, toxic in fit if toxic == k] for k in (0, 1))
-    if not plain or not bad or {t for _, t in held} != {0, 1}:
-        return Model(" ", " ")
-    whole = [" ".join(ws).encode("utf-8", "surrogatepass") for ws in plain]
-    samples = [x[at : at + 512] for x in whole for at in range(0, len(x), 512)]
-    model = Model(_trained(samples, ORDINARY_CHARS), _toxic_content(characteristic(plain, bad)))
-    gains = Gains(model.ordinary, model.toxic)
-    toxic = np.array([t for _, t in held], dtype=bool)
-    best = (-1.0, 0.0, 0, 1e9)
-    for margin in range(MARGINS):
-        model.margin = margin
-        totals = np.array([model.total(ws, gains) for ws, _ in held])
-        levels = np.unique(totals)
-        for lo, hi in zip(levels, [*levels[1:], levels[-1] + 2], strict=True):
-            cut = (lo + hi) / 2
-            value = (totals[toxic] > cut).mean() - WRONG * (totals[~toxic] > cut).mean()
-            best = max(best, (round(float(value), 6), (hi - lo) / max(hi, 1), margin, float(cut)))
-    model.margin, model.threshold = best[2], best[3]
-    return model
-
-
-def sample(docs: DataFrame, labels: DataFrame, each: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> list[tuple[int, str, int]]:
-    """The labelled rows to learn from: `each` of a class at most, so that ids may be broadcast and texts collected."""
-    known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    key = F.md5(F.concat(F.lit("sample:"), F.col("doc_id").cast("string")))
-    ids = None
-    for k in (0, 1):
-        some = known.where(F.col("toxic") == k).orderBy(key, "doc_id").limit(each)
-        ids = some if ids is None else ids.unionByName(some)
-    ids = ids.withColumnRenamed("doc_id", "_id")
+    """rows: doc_id, text, toxic. Of equal texts one counts, as toxic if any is; every fourth calibrates, the others train."""
+    seen: dict[str, int] = {}
+    for _, text, toxic in rows:
+        seen[text] = max(toxic, seen.get(text, 0))
+    order = sorted(seen, key=lambda t: (zlib.crc32(t.encode("utf-8", "surrogatepass")), t))
+    codes = Codes()
+    texts = {k: [codes.of(t) for t in order if seen[t] == k] for k in (0, 1)}
+    fit = {k: [c for i, c in enumerate(v) if i % CALIBRATES and c] for k, v in texts.items()}
+    held = {k: v[::CALIBRATES] for k, v in texts.items()}
+    if not all(fit.values()) or not all(held.values()):
+        return Model()
+    common = {w for c in fit[0] for w in c}
+    odd = [b"".join(dict.fromkeys(w for w in c if w not in common)) for c in fit[1]]
+    odd = [x for x in odd if x]
+    ordinary, best = _trained([b"".join(c) for c in fit[0]], ORDINARY), (-1e9, Model())
+    for size in TOXIC if odd else ():
+        model = Model(ordinary, _trained(odd, size))
+        c = model.compressors()
+        gains = {k: [c.gains(x) for x in v] for k, v in held.items()}
+        # How many ordinary windows have a word that the toxic dictionary knows.
+        flat = np.array([g for x in gains[0] for g in x])
+        by_chance = ((flat > HIT / 2).sum() + 1) / (len(flat) + 2)
+        model.slope = HIT / -float(np.log(min(by_chance, 0.5)))
+        values = {k: np.array([model.value(x) for x in v]) for k, v in gains.items()}
+        for cut in np.arange(0, 6 * HIT, 0.5):
+            worth = (values[1] > cut).mean() - WRONG * (values[0] > cut).mean()
+            if (key := round(float(worth), 6)) > best[0]:
+                best = key, Model(model.ordinary, model.toxic, model.slope, float(cut) + 0.25)
+    return best[1]
+
+
+def sample(docs: DataFrame, labels: DataFrame, each: tuple[int, int] = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> list[tuple[int, str, int]]:
+    """The labelled rows to learn from, each[0] ordinary and each[1] toxic ones at most, of texts up to most_bytes."""
+    known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    known = counted(known.withColumnRenamed("doc_id", "_id"))
     text = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.octet_length("text") <= most_bytes))
-    rows = text.join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "toxic").dropDuplicates(["doc_id"]).limit(2 * each)
-    return [(r["doc_id"], r["text"], int(r["toxic"])) for r in rows.collect()]
+    rows = text.join(known, F.col("doc_id") == F.col("_id")).select("doc_id", "toxic", text_digest(F.col("text")).alias("_text")).distinct()
+    key = F.md5(F.concat_ws(":", F.lit("sample"), F.col("doc_id").cast("string"), "_text"))
+    some = [rows.where(F.col("toxic") == k).orderBy(key, "doc_id").limit(n) for k, n in enumerate(each)]
+    ids = some[0].unionByName(some[1]).select(F.col("doc_id").alias("_id"), "toxic", "_text")  # sum(each) rows at most
+    rows = text.join(F.broadcast(ids), (F.col("doc_id") == F.col("_id")) & (text_digest(F.col("text")) == F.col("_text")))
+    rows = rows.groupBy("doc_id", "_text").agg(F.first("text").alias("text"), F.first("toxic").alias("toxic"))
+    return [(r["doc_id"], r["text"], r["toxic"]) for r in rows.collect()]
 
 
 def score(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
-    """doc_id, held_out, score, predicted, gain (bytes saved over the margin)."""
+    """doc_id, held_out, score, predicted, gain (bytes saved in the best window, less what its length makes likely)."""
     model = train(sample(docs, labels, **how))
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gains = Gains(model.ordinary, model.toxic)
+        codes, compressors = Codes(), model.compressors()
         for batch in batches:
-            totals = [model.total(plain_words(t.as_py() or ""), gains) for t in batch.column(2)]
-            scores = [model.score(t) for t in totals]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(totals, pa.float64())], names=["doc_id", "held_out", "score", "predicted", "gain"])
+            values = [model.value(compressors.gains(codes.of(t.as_py()))) for t in batch.column(2)]
+            scores = [model.score(v) for v in values]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(values, pa.float64())], names=["doc_id", "held_out", "score", "predicted", "gain"])
 
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int, gain double")
 
@@ -227,9 +194,9 @@ def without_toxic(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gains = Gains(model.ordinary, model.toxic)
+        codes, compressors = Codes(), model.compressors()
         for batch in batches:
-            keep = [model.score(model.total(plain_words(t.as_py() or ""), gains)) < 0.5 for t in batch.column(at)]
+            keep = [model.score(model.value(compressors.gains(codes.of(t.as_py())))) < 0.5 for t in batch.column(at)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
