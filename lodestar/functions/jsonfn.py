@@ -7,6 +7,7 @@ from typing import Any
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def canonical_json(c: Column) -> Column:
@@ -45,6 +46,19 @@ def escape_json(c: Column) -> Column:
     return F.regexp_extract(F.to_json(F.array(c)), r'(?s)^\["(.*)"\]$', 1)
 
 
+def escape_json_deep(c: Column, t: T.DataType) -> Column:
+    """Every string in a value of type t, at any depth, as it stands inside JSON quotes."""
+    if isinstance(t, T.StringType):
+        return escape_json(c)
+    if isinstance(t, T.ArrayType):
+        return F.transform(c, lambda x: escape_json_deep(x, t.elementType))
+    if isinstance(t, T.MapType):
+        return F.transform_values(c, lambda _, x: escape_json_deep(x, t.valueType))
+    if isinstance(t, T.StructType):
+        return F.when(c.isNotNull(), F.struct(*(escape_json_deep(c[f.name], f.dataType).alias(f.name) for f in t)))
+    return c
+
+
 def merge_maps(target: Column, source: Column) -> Column:
     """source wins unless its value is null or empty."""
     both = F.map_zip_with(F.coalesce(target, F.create_map().cast("map<string,string>")), F.coalesce(source, F.create_map().cast("map<string,string>")), lambda k, a, b: F.coalesce(F.when(b != "", b), a))

@@ -24,12 +24,20 @@ def _rower(s: Column, *rest):
     return lambda x: _row(s, p, x, kind, datatype, lang, reverse)
 
 
-def to_triples(df: DataFrame, context: Context, types: list[str] | None = None, iri: str = "iri") -> DataFrame:
-    """One pass: each row becomes an array of its triples. Fields without a term are left out; rows without an IRI get a blank node of their content."""
+def predicates(df: DataFrame, context: Context, types: list[str] | None = None) -> set[str]:
+    """The predicates that to_triples() may make of these columns."""
+    named = {RDF_TYPE if t.kind == "type" else t.iri for n, t in context.terms.items() if n in df.columns and t.kind != "id"}
+    return named | ({RDF_TYPE} if types else set())
+
+
+def to_triples(df: DataFrame, context: Context, types: list[str] | None = None, iri: str = "iri", only: str | None = None) -> DataFrame:
+    """One pass: each row becomes an array of its triples. Fields without a term are left out; rows without an IRI get a blank node of their content.
+
+    only: a predicate; then just its fields are read."""
     s = F.coalesce(F.col(iri), F.concat(F.lit("_:"), F.sha2(F.to_json(F.struct(*df.columns)), 256)))
-    rows = [F.array(_row(s, RDF_TYPE, F.lit(t), "iri")) for t in types or ()]
+    rows = [F.array(_row(s, RDF_TYPE, F.lit(t), "iri")) for t in types or () if only in (None, RDF_TYPE)]
     for name, t in context.terms.items():
-        if name not in df.columns or t.kind == "id":
+        if name not in df.columns or t.kind == "id" or only not in (None, RDF_TYPE if t.kind == "type" else t.iri):
             continue
         c, dt = F.col(name), df.schema[name].dataType
         values = c if isinstance(dt, T.ArrayType) else F.array(c)
@@ -40,8 +48,14 @@ def to_triples(df: DataFrame, context: Context, types: list[str] | None = None,
             p, kind = t.iri, "literal"
             own = _DATATYPES.get(type(element))
             datatype = t.datatype or (XSD + own if own else None)
-        rows.append(F.transform(F.array_compact(values), _rower(s, p, kind, datatype, t.lang, t.reverse)))
-    return df.select(F.explode(F.flatten(F.array(*(F.coalesce(r, F.array().cast(r_type())) for r in rows)))).alias("t")).select("t.*")
+        if only and not isinstance(dt, T.ArrayType):
+            rows.append(F.when(c.isNotNull(), F.array(_row(s, p, c, kind, datatype, t.lang, t.reverse))))
+        else:
+            rows.append(F.transform(F.array_compact(values), _rower(s, p, kind, datatype, t.lang, t.reverse)))
+    if not rows:
+        return df.sparkSession.createDataFrame([], r_type().elementType)
+    made = F.flatten(F.array(*(F.coalesce(r, F.array().cast(r_type())) for r in rows))) if len(rows) > 1 else rows[0]
+    return df.select(F.explode(made).alias("t")).select("t.*")
 
 
 def r_type() -> T.ArrayType:
@@ -49,14 +63,31 @@ def r_type() -> T.ArrayType:
 
 
 class Graph:
-    def __init__(self, df: DataFrame, prefixes: dict[str, str] | None = None):
-        self.df, self.prefixes = df, prefixes or {}
+    """df: the triples. views: where they come from (frame, context, class IRIs), so that a scan for one predicate reads its fields only."""
+
+    def __init__(self, df: DataFrame, prefixes: dict[str, str] | None = None, views: list[tuple] | None = None, distinct: bool = False):
+        self.df, self.prefixes, self.views, self.distinct = df, prefixes or {}, views, distinct
 
     @classmethod
     def of(cls, parts: list[DataFrame], prefixes: dict[str, str] | None = None, distinct: bool = True) -> Graph:
         df = reduce(DataFrame.unionByName, parts)
         return cls(df.distinct() if distinct else df, prefixes)
 
+    @classmethod
+    def of_views(cls, views: list[tuple[DataFrame, Context, list[str] | None]], prefixes: dict[str, str] | None = None, distinct: bool = True) -> Graph:
+        made = cls.of([to_triples(*v) for v in views], prefixes, distinct)
+        return cls(made.df, prefixes, views, distinct)
+
+    def scan(self, p: str) -> DataFrame:
+        """The triples of one predicate."""
+        if self.views is None:
+            return self.df.where(F.col("p") == p)
+        parts = [to_triples(*v, only=p) for v in self.views if p in predicates(*v)]
+        if not parts:
+            return self.df.where(F.lit(False))
+        df = reduce(DataFrame.unionByName, parts)
+        return df.distinct() if self.distinct else df
+
     def union(self, other: Graph) -> Graph:
         return Graph(self.df.unionByName(other.df).distinct(), self.prefixes | other.prefixes)
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,12 +11,13 @@ from pyspark.sql import types as T
 
 from ..functions import jsonfn
 from ..functions.expr import Condition
+from ..operators.documents import import_json
 from ..operators.frame import LinkedFrame, best_match
 from ..operators.transform import transform
 from ..operators.triples import Graph, to_triples
 from ..sources.store import EntityStore, Registry, first_found, request, resolve_type
 from .context import compile_context, of_class
-from .model import Attribute, EntityClass
+from .model import Attribute, EntityClass, title_of
 
 S, L, D, I = T.StringType(), T.LongType(), T.DoubleType(), T.IntegerType()  # noqa: E741
 PREFIXES = {"ex": "http://example.org/", "rdf": "http://www.w3.org/1999/02/22-rdf-syntax-ns#", "schema": "https://schema.org/"}
@@ -85,8 +85,8 @@ class Views:
 
     def graph(self, *names: str, distinct: bool = False) -> Graph:
         """These views as triples; keys are unique, so that a union is a set already."""
-        parts = [to_triples(getattr(self, n).df, of_class(getattr(self, n).cls), [PREFIXES["ex"] + getattr(self, n).cls.class_name]) for n in names]
-        return Graph.of(parts, PREFIXES, distinct)
+        views = [(getattr(self, n).df, of_class(getattr(self, n).cls), [PREFIXES["ex"] + getattr(self, n).cls.class_name]) for n in names]
+        return Graph.of_views(views, PREFIXES, distinct)
 
 
 def _iri(prefix: str, key: str) -> Column:
@@ -289,7 +289,7 @@ def bgp_star(v):
 
 @query
 def construct_subject(v):
-    df = v.graph("nation").query("CONSTRUCT { ?s ?p ?o } WHERE { ?s ?p ?o FILTER(?s = \"nation:3\") }")
+    df = v.graph("nation").query("CONSTRUCT { ?s ?p ?o } WHERE { ?s ?p ?o FILTER(?s = <nation:3>) }")
     return df.select("s", _short("p").alias("p"), _short("o").alias("o"))
 
 
@@ -300,12 +300,12 @@ def triples_per_predicate(v):
 
 @query
 def sparql_optional(v):
-    return v.graph("customer", "order").query('SELECT ?c ?o WHERE { ?c ex:nation ?n . FILTER(?n = "nation:3") OPTIONAL { ?o ex:customer ?c . ?o ex:total ?t . FILTER(?t > 400000.0) } }')
+    return v.graph("customer", "order").query('SELECT ?c ?o WHERE { ?c ex:nation ?n . FILTER(?n = <nation:3>) OPTIONAL { ?o ex:customer ?c . ?o ex:total ?t . FILTER(?t > 400000.0) } }')
 
 
 @query
 def sparql_union(v):
-    return v.graph("customer", "supplier").query('SELECT ?name WHERE { { ?s a ex:Supplier ; ex:nation ?n ; ex:name ?name } UNION { ?s a ex:Customer ; ex:nation ?n ; ex:name ?name } FILTER(?n = "nation:1") }')
+    return v.graph("customer", "supplier").query('SELECT ?name WHERE { { ?s a ex:Supplier ; ex:nation ?n ; ex:name ?name } UNION { ?s a ex:Customer ; ex:nation ?n ; ex:name ?name } FILTER(?n = <nation:1>) }')
 
 
 @query
@@ -330,8 +330,7 @@ def sparql_group_count(v):
 
 @query
 def sparql_path_plus(v):
-    customers = LinkedFrame(v.customer.df.where("custkey < 50"), Customer)
-    g = Graph.of([to_triples(customers.df, of_class(Customer)), to_triples(v.nation.df, of_class(Nation))], PREFIXES, distinct=False)
+    g = Graph.of_views([(v.customer.df, of_class(Customer), None), (v.nation.df, of_class(Nation), None)], PREFIXES, distinct=False)
     return g.query("SELECT DISTINCT ?s ?o WHERE { ?s (ex:nation|ex:region)+ ?o }")
 
 
@@ -463,16 +462,15 @@ def ctl_unique_preferred(v):
 
 @query
 def jt_unique_array(v):
-    per = v.event.df.groupBy(F.col("user").alias("s")).agg(F.collect_set("event_type").alias("items"))
+    per = v.event.df.groupBy(F.col("user").alias("s")).agg(F.collect_list("event_type").alias("items"))
     return per.select("s", F.explode(jsonfn.unique_array("items")).alias("item"))
 
 
 @query
 def jt_enum_titles(v):
-    titles = {"view": "Viewed", "click": "Clicked"}
-    c = F.col("event_type")
-    title = reduce(lambda out, x: F.when(c == x[0], x[1]).otherwise(out), titles.items(), c)
-    return v.event.df.select("event_id", title.alias("title"))
+    kinds = EntityClass("Kinds", {"event_type": Attribute(S, metadata={"enum": ["view", "click"], "options": {"enum_titles": ["Viewed", "Clicked"]}})})
+    title = title_of(F.col("event_type"), kinds.attributes["event_type"])
+    return v.event.df.select("event_id", F.coalesce(title, "event_type").alias("title"))
 
 
 @query
@@ -485,14 +483,56 @@ def cred_best_match(v):
     return best_match(v.table("pages"), "url", "page_id", ["example.com", "example.net", "http://", "https://", "example.org/es"])
 
 
+def _layers(v) -> LinkedFrame:
+    """Three layers of 333 entities, each linked to all of the next layer."""
+    layer = v.spark.range(0, 3, 1, 3).withColumnRenamed("id", "layer")
+    numbers = F.sequence(F.lit(0), F.lit(332))
+    name = lambda n, i: F.concat(n.cast("string"), F.lit("-"), i.cast("string"))
+    nodes = layer.select("layer", F.explode(numbers).alias("i"))
+    links = F.when(F.col("layer") < 2, F.transform(numbers, lambda j: F.concat(F.lit("ex:e"), name(F.col("layer") + 1, j))))
+    nodes = nodes.select("layer", F.concat(F.lit("ex:e"), name(F.col("layer"), F.col("i"))).alias("iri"), F.concat(F.lit("Entity "), name(F.col("layer"), F.col("i"))).alias("name"), links.alias("links"))
+    return LinkedFrame(nodes)
+
+
 @query
 def perf_chain(v):
-    """Two complete layers of links between 333 entities each, followed from node lists."""
-    layer = v.spark.range(0, 3, 1, 3).withColumnRenamed("id", "layer")
-    ids = F.transform(F.sequence(F.lit(0), F.lit(332)), lambda x: F.concat(F.lit("ex:e"), x.cast("string")))
-    nodes = layer.select("layer", F.explode(ids).alias("iri")).withColumn("links", F.when(F.col("layer") < 2, ids))
-    f = LinkedFrame(nodes.where("layer < 2"))
-    return f.flatmap("links", "link").where("link is not null").agg(F.count(F.lit(1)).alias("n_links"))
+    """From the first layer through two lists of links, with a condition at each of the three layers."""
+    f = _layers(v)
+    found = LinkedFrame(f.df.where("layer = 0"))[Condition("name", "eq", "Entity 0-50")].follow("links", f)[Condition("name", "eq", "Entity 1-50")].follow("links", f)[Condition("name", "eq", "Entity 2-50")]
+    return found.df.select("iri", "name")
+
+
+@query
+def perf_links(v):
+    return _layers(v).flatmap("links", "link").where("link is not null").agg(F.count(F.lit(1)).alias("n_links"))
+
+
+@query
+def sparql_literal_or_iri(v):
+    """A literal with the text of an IRI joins no IRI."""
+    g = Graph.of([to_triples(v.nation.df, of_class(Nation)), to_triples(v.region.df.withColumn("name", F.col("iri")), of_class(Region))], PREFIXES, distinct=False)
+    return g.query("SELECT ?s ?o WHERE { ?s ex:region ?x . ?o ex:name ?x }").unionByName(g.query("SELECT ?s ?o WHERE { ?s ex:region ?x . ?o ex:name ?y FILTER(STR(?x) = STR(?y)) }"))
+
+
+@query
+def sparql_disconnected(v):
+    """Groups without a common variable: EXISTS as a whole, OPTIONAL as each with each, or none."""
+    g = v.graph("nation", "region")
+    one = g.query('SELECT ?n WHERE { ?n a ex:Nation FILTER EXISTS { ?r ex:name "ASIA" } }')
+    two = g.query('SELECT ?n WHERE { ?n a ex:Nation FILTER NOT EXISTS { ?r ex:name "ASIA" } }')
+    three = g.query('SELECT ?n ?r WHERE { ?n a ex:Nation OPTIONAL { ?r ex:name "NOWHERE" } }')
+    none = F.lit(None).cast("string").alias("r")
+    return one.select(F.lit(1).alias("k"), "n", none).unionByName(two.select(F.lit(2).alias("k"), "n", none)).unionByName(three.select(F.lit(3).alias("k"), "n", "r"))
+
+
+@query
+def documents_by_class(v):
+    """JSON documents made into their classes by type."""
+    typed = lambda f, *cols: f.df.select("iri", F.to_json(F.struct(F.lit(f.cls.class_name).alias("type"), *cols)).alias("doc"))
+    docs = typed(v.nation, "name", "region").unionByName(typed(v.region, "name"))
+    classes = [EntityClass("Nation", {"name": Attribute(S), "region": Attribute(S, "Region")}), EntityClass("Region", {"name": Attribute(S)})]
+    made = import_json(docs, classes)
+    return made["Nation"].df.select("iri", "name", "region").unionByName(made["Region"].df.select("iri", "name", F.lit(None).cast("string").alias("region")))
 
 
 def _oracle() -> dict[str, str]:

@@ -122,7 +122,7 @@ SELECT DISTINCT c_name AS name FROM customer ORDER BY name LIMIT 10;
 SELECT concat('nation:', c_nationkey) AS nation, count(*) AS n FROM customer GROUP BY 1;
 
 -- name: sparql_path_plus
-WITH RECURSIVE e(s, o) AS (SELECT concat('customer:', c_custkey), concat('nation:', c_nationkey) FROM customer WHERE c_custkey < 50 UNION ALL SELECT concat('nation:', n_nationkey), concat('region:', n_regionkey) FROM nation), r(s, o) AS (SELECT s, o FROM e UNION ALL SELECT r.s, e.o FROM r JOIN e ON r.o = e.s) SELECT DISTINCT s, o FROM r;
+WITH RECURSIVE e(s, o) AS (SELECT concat('customer:', c_custkey), concat('nation:', c_nationkey) FROM customer UNION ALL SELECT concat('nation:', n_nationkey), concat('region:', n_regionkey) FROM nation), r(s, o) AS (SELECT s, o FROM e UNION ALL SELECT r.s, e.o FROM r JOIN e ON r.o = e.s) SELECT DISTINCT s, o FROM r;
 
 -- name: upsert_documents
 SELECT n_nationkey AS id, n_name AS name FROM nation WHERE n_nationkey NOT IN (3, 900) UNION ALL SELECT * FROM (VALUES (3, 'RENAMED'), (900, 'NEW')) v(id, name);
@@ -194,4 +194,16 @@ SELECT page_id, split_part(list_extract(string_split(url, '/'), -1), '?', 1) AS
 SELECT page_id, k FROM (SELECT page_id, k, row_number() OVER (PARTITION BY page_id ORDER BY length(k) DESC) AS rn FROM pages JOIN (VALUES ('example.com'),('example.net'),('http://'),('https://'),('example.org/es')) c(k) ON contains(url, k)) t WHERE rn = 1;
 
 -- name: perf_chain
+SELECT concat('ex:e2-', c.i) AS iri, concat('Entity 2-', c.i) AS name FROM range(333) a(i), range(333) b(i), range(333) c(i) WHERE concat('Entity 0-', a.i) = 'Entity 0-50' AND concat('Entity 1-', b.i) = 'Entity 1-50' AND concat('Entity 2-', c.i) = 'Entity 2-50';
+
+-- name: perf_links
 SELECT count(*) AS n_links FROM range(333) a(x), range(333) b(y), (VALUES (0),(1)) l(layer);
+
+-- name: sparql_literal_or_iri
+SELECT concat('nation:', n_nationkey) AS s, concat('region:', n_regionkey) AS o FROM nation;
+
+-- name: sparql_disconnected
+SELECT 1 AS k, concat('nation:', n_nationkey) AS n, NULL::VARCHAR AS r FROM nation WHERE EXISTS (SELECT * FROM region WHERE r_name = 'ASIA') UNION ALL SELECT 2, concat('nation:', n_nationkey), NULL FROM nation WHERE NOT EXISTS (SELECT * FROM region WHERE r_name = 'ASIA') UNION ALL SELECT 3, concat('nation:', n_nationkey), 'region:' || r_regionkey FROM nation LEFT JOIN region ON r_name = 'NOWHERE';
+
+-- name: documents_by_class
+SELECT concat('nation:', n_nationkey) AS iri, n_name AS name, concat('region:', n_regionkey) AS region FROM nation UNION ALL SELECT concat('region:', r_regionkey), r_name, NULL FROM region;

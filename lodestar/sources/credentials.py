@@ -13,14 +13,13 @@ class Credential:
     values: tuple[tuple[str, str], ...] = field(repr=False)  # logs and plans don't show them
 
 
-#: Kinds and the fields that tell them, the most specific first.
-KINDS = {"oauth1": ("consumer_token", "consumer_secret", "access_token", "access_secret"), "oauth2": ("client_id", "client_secret"), "certificate": ("cert_path",), "token": ("token",), "user_pwd": ("username", "password")}
+#: Kinds and the fields that tell them, the most specific first; others are of the base kind.
+KINDS = {"oauth1": ("consumer_token", "consumer_secret", "access_token", "access_secret"), "oauth2": ("access_token",), "certificate": ("cert_path",), "user_pwd": ("username", "password"), "token": ("token",)}
+BASE = "base"
 
 
 def infer(iri: str, values: dict[str, str]) -> Credential:
-    kind = next((k for k, need in KINDS.items() if all(f in values for f in need)), None)
-    if kind is None:
-        raise ValueError(f"credential of {iri!r}: no kind has fields {sorted(values)}")
+    kind = next((k for k, need in KINDS.items() if all(f in values for f in need)), BASE)
     return Credential(iri, kind, tuple(sorted(values.items())))
 
 

@@ -21,18 +21,35 @@ REQUEST_ROWS = 100_000
 
 
 def request(spark: SparkSession, iris: list[str]) -> DataFrame:
-    df = spark.createDataFrame(list(enumerate(iris)), "pos int, iri string")
-    return F.broadcast(df) if len(iris) <= REQUEST_ROWS else df
+    return _asked(spark, list(enumerate(iris)))
 
 
-class EntityStore:
+def _asked(spark: SparkSession, rows: list[tuple[int, str]]) -> DataFrame:
+    df = spark.createDataFrame(rows, "pos int, iri string")
+    return F.broadcast(df) if len(rows) <= REQUEST_ROWS else df
+
+
+class Source:
+    """What a store may offer; hooks that a kind of store lacks raise."""
+
+    def resolve(self, iris: DataFrame | list[str], missing: str = "null") -> DataFrame:
+        raise NotImplementedError(f"{type(self).__name__} resolves no IRIs")
+
+    def query(self, n: Node, mode: str = "store") -> DataFrame:
+        raise NotImplementedError(f"{type(self).__name__} answers no conditions")
+
+    def upsert(self, new: DataFrame, order: str | None = None) -> Source:
+        raise NotImplementedError(f"{type(self).__name__} stores nothing")
+
+
+class EntityStore(Source):
     def __init__(self, df: DataFrame):
         self.df = df
 
     @classmethod
-    def from_json_file(cls, spark: SparkSession, path: str) -> EntityStore:
-        """A file of one object {iri: document}."""
-        raw = spark.read.text(path, wholetext=True)
+    def from_json_file(cls, spark: SparkSession, path: str, lines: bool = False) -> EntityStore:
+        """A file of one object {iri: document}, read by one task; lines: files of such an object a line, which are split, as export_json() writes them."""
+        raw = spark.read.text(path, wholetext=not lines)
         return cls(raw.select(F.explode(F.from_json("value", "map<string,string>")).alias("iri", "doc")))
 
     @classmethod
@@ -66,14 +83,35 @@ class EntityStore:
         return df.where(compile_condition(n, df.schema, mode)).select(*self.df.columns)
 
     def upsert(self, new: DataFrame, order: str | None = None) -> EntityStore:
-        """Rows of new replace those of their iri; of several in new the last by order."""
+        """Rows of new replace those of their iri; of several in new the last by order. Without an order, different rows of one iri raise an error when the store is read."""
+        w = Window.partitionBy("iri")
         if order:
-            w = Window.partitionBy("iri").orderBy(F.desc(order))
-            new = new.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", order)
+            new = new.withColumn("_n", F.row_number().over(w.orderBy(F.desc(order)))).where("_n = 1").drop("_n", order)
+        else:
+            many = F.count(F.lit(1)).over(w) > 1
+            new = new.distinct().withColumn("iri", F.when(many, F.raise_error(F.concat(F.lit("several rows, and no order, for "), "iri"))).otherwise(F.col("iri")))
         return EntityStore(self.df.join(new.select("iri"), "iri", "left_anti").unionByName(new, allowMissingColumns=True))
 
-    def export_json(self, path: str) -> None:
-        self.df.select(F.to_json(F.create_map("iri", F.col("doc"))).alias("value")).write.mode("overwrite").text(path)
+    def export_json(self, path: str, single: bool = False) -> None:
+        """An object {iri: document} a line, by as many tasks as the store has. single: one file with one object over all lines, by one task that holds a row at a time."""
+        quoted = F.to_json(F.array("iri"))
+        pair = F.concat(quoted.substr(F.lit(2), F.length(quoted) - 2), F.lit(":"), F.coalesce(F.col("doc"), F.lit("null")))
+        if not single:
+            self.df.select(F.concat(F.lit("{"), pair, F.lit("}")).alias("value")).write.mode("overwrite").text(path)
+            return
+        spark = self.df.sparkSession
+        rows = self.df.select("iri", pair.alias("value")).coalesce(1).sortWithinPartitions("iri")
+        rows = rows.select(F.when(F.monotonically_increasing_id() > 0, F.concat(F.lit(","), "value")).otherwise(F.col("value")).alias("value"))
+        ends = [spark.createDataFrame([(x,)], "value string").coalesce(1) for x in "{}"]
+        ends[0].unionByName(rows).unionByName(ends[1]).coalesce(1).write.mode("overwrite").text(path)
+
+    def to_sqlite(self, path: str, table: str = "entities") -> None:
+        """Insert or replace the rows in a table that is made if it isn't there; the file must be where executors see it."""
+        from .sqlite import SqliteSource
+
+        spark = self.df.sparkSession
+        spark.dataSource.register(SqliteSource)
+        self.df.select("iri", "doc").write.format("lodestar-sqlite").mode("append").option("path", path).option("table", table).save()
 
 
 class Registry:
@@ -98,7 +136,7 @@ class Registry:
         for k, i in enumerate(dict.fromkeys(iris)):
             self.store(i)
             by.setdefault(i.split(":", 1)[0], []).append((k, i))
-        parts = [EntityStore(self.stores[p].df.select("iri", *columns)).resolve(F.broadcast(spark.createDataFrame(rows, "pos int, iri string")), missing) for p, rows in by.items()]
+        parts = [EntityStore(self.stores[p].df.select("iri", *columns)).resolve(_asked(spark, rows), missing) for p, rows in by.items()]
         return reduce(DataFrame.unionByName, parts)
 
     def upsert(self, new: DataFrame, order: str | None = None) -> Registry:
