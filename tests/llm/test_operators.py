@@ -263,41 +263,44 @@ def test_chat_keeps_what_is_said_beside_calls(spark):
     assert got[2][2] == '{"content":"7","fields":{"is_error":true,"name":"search"},"role":"tool","tool_call_id":"a"}'
 
 
-def test_toxicity_held_out(spark):
+def _labelled(d):
+    return duckdb.sql(f"SELECT doc_id, text, max(toxic) FROM '{d}/documents.parquet' JOIN '{d}/labels.parquet' USING (doc_id) WHERE text IS NOT NULL GROUP BY ALL ORDER BY doc_id").fetchall()
+
+
+def test_toxicity_against_a_loop(spark):
+    """The query's verdicts are those of the model over each text; held out, it finds toxic rows and leaves clean ones alone."""
     d = "/root/testdata/sf0.01"
-    rows = toxicity.score(table(spark, d, "documents"), table(spark, d, "labels")).join(table(spark, d, "labels"), "doc_id").where("held_out").collect()
-    assert sum(r["predicted"] == r["toxic"] for r in rows) / len(rows) >= 0.93
-    assert all(0 <= r["score"] <= 1 for r in rows)
+    docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
+    model = toxicity.train(toxicity.sample(docs, labels))
+    compress, codes = model.compressors(), toxicity.Codes()
+    want = {r["doc_id"]: int(model.value(compress.gains(codes.of(r["text"]))) > model.threshold) for r in docs.collect()}
+    got = toxicity.score(docs, labels).collect()
+    assert {r["doc_id"]: r["predicted"] for r in got} == want and all(0 <= r["score"] <= 1 for r in got)
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in got)
 
 
-def test_toxicity_of_long_clean_texts():
+def test_toxicity_held_out_and_in_long_texts():
     import random
 
-    d = "/root/testdata/sf0.1"
-    rows = duckdb.sql(f"SELECT doc_id, text, max(toxic) FROM '{d}/documents.parquet' JOIN '{d}/labels.parquet' USING (doc_id) WHERE length(text) < 16000 GROUP BY ALL ORDER BY doc_id").fetchall()
-    model = toxicity.train([r for r in rows if r[0] % 5])
-    gains, rnd = toxicity.Gains(model.ordinary, model.toxic), random.Random(3)
-    total = lambda t: model.total(toxicity.plain_words(t), gains)
-    clean = [t for d, t, toxic in rows if d % 5 == 0 and not toxic and total(t) <= model.threshold]
-    for size in (100_000, 300_000, 1_000_000):
+    rows = _labelled("/root/testdata/sf0.1")
+    out = lambda r: zlib.crc32(str(r[0]).encode()) % 5 == 0
+    model, rnd = toxicity.train([r for r in rows if not out(r) and len(r[1]) <= toxicity.SAMPLE_BYTES]), random.Random(3)
+    compress, codes = model.compressors(), toxicity.Codes()
+    toxic = lambda t: model.value(compress.gains(codes.of(t))) > model.threshold
+    found = [toxic(t) for d, t, k in rows if out((d,)) and k]
+    wrong = [toxic(t) for d, t, k in rows if out((d,)) and not k]
+    assert sum(found) >= 0.55 * len(found) and sum(wrong) <= 0.02 * len(wrong)
+    clean = [t for d, t, k in rows if out((d,)) and not k and not toxic(t)]
+    for size in (100_000, 1_000_000):
         text = ""
         while len(text) < size:
             text += rnd.choice(clean) + "\n"
-        assert total(text) <= model.threshold, size
-        assert total(text + " stupid moron, worthless scum and pathetic loser") > model.threshold, size
+        assert not toxic(text), size
+    assert toxic(text[:100_000] + " stupid moron, worthless scum and pathetic loser")
 
 
-def test_pipeline(spark, sf_dir):
-    import corpus_pipeline
-
-    docs = table(spark, sf_dir, "documents")
-    labels, bench = table(spark, sf_dir, "labels"), table(spark, sf_dir, "benchmark")
-    bad = {r["doc_id"] for r in toxicity.score(docs, labels).where("predicted = 1").collect()}
-    left = docs.where(~F.col("doc_id").isin(sorted(bad))) if bad else docs
-    left = left.where(F.col("doc_id").isin([r["doc_id"] for r in jaccard.join(left).where("doc_id = class_id").collect()]))
-    leaked = [r["doc_id"] for r in decontaminate.leaks(left, bench).collect()]
-    want = {r["doc_id"] for r in left.collect()} - set(leaked)
-    got = corpus_pipeline.run(spark, sf_dir)
-    rows = got.collect()
-    assert {r["doc_id"] for r in rows} == want and set(got.columns) == {*docs.columns, "shard"}
-    assert len(rows) == mixing.mix(left.where(~F.col("doc_id").isin(leaked)) if leaked else left).count()
+def test_toxicity_sample_is_filtered_before_it_is_bounded(spark):
+    docs = spark.createDataFrame([(k, "x " * 9000 if k % 2 else f"word {k}") for k in range(60)] + [(2, "another text")], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k // 30) for k in range(60)] + [(1000, 1)], "doc_id long, toxic int")
+    got = toxicity.sample(docs, labels, each=(8, 8))
+    assert Counter(t for _, _, t in got) == {0: 8, 1: 8} and all(len(x) < 100 for _, x, _ in got)
