@@ -63,6 +63,7 @@ class EntityStore(Source):
         from .sqlite import SqliteSource
 
         spark.dataSource.register(SqliteSource)
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")  # lookups go to the table's key
         return cls(spark.read.format("lodestar-sqlite").option("path", path).option("table", table).load())
 
     def resolve(self, iris: DataFrame | list[str], missing: str = "null") -> DataFrame:

@@ -13,7 +13,7 @@ def spark(tmp_path_factory):
     from pyspark.sql import SparkSession
 
     builder = SparkSession.builder.master("local[8]")
-    for k, v in {"spark.sql.shuffle.partitions": "4", "spark.sql.session.timeZone": "UTC", "spark.ui.enabled": "false", "spark.driver.memory": "8g", "spark.checkpoint.dir": str(tmp_path_factory.mktemp("checkpoints")), "spark.sql.python.filterPushdown.enabled": "true"}.items():
+    for k, v in {"spark.sql.shuffle.partitions": "4", "spark.sql.session.timeZone": "UTC", "spark.ui.enabled": "false", "spark.driver.memory": "8g", "spark.checkpoint.dir": str(tmp_path_factory.mktemp("checkpoints"))}.items():
         builder = builder.config(k, v)
     s = builder.getOrCreate()
     s.sparkContext.setLogLevel("ERROR")
