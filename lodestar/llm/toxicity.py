@@ -54,8 +54,8 @@ SAMPLE, SAMPLE_BYTES = (8_000, 2_000), 16_384
 CODE, SPAN, ORDINARY, TOXIC = 12, 16, 393_216, (1_024, 1_536, 2_048, 3_072, 4_096)
 #: The gain of one known word; what a clean text judged toxic weighs; of the rows every so many calibrates.
 HIT, WRONG, CALIBRATES = 8, 8, 4
-#: Codes that a worker keeps.
-KEPT = 500_000
+#: Codes that a worker remembers, and the driver while it learns; bytes of codes that the ordinary dictionary is trained on.
+KEPT, LEARNING, TRAINED = 500_000, 50_000, 4 << 20
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -64,18 +64,27 @@ def held_out(doc_id: Column) -> Column:
 
 
 class Codes(dict):
-    """A code for each word, unlike those of others."""
+    """A code for each word, unlike those of others; up to `kept` are remembered."""
+
+    def __init__(self, kept: int = KEPT):
+        super().__init__()
+        self.kept = kept
 
     def __missing__(self, word: str) -> bytes:
         import xxhash
 
-        if len(self) > KEPT:
+        if len(self) > self.kept:
             self.clear()
         self[word] = code = xxhash.xxh128_digest(word.encode("utf-8", "surrogatepass"))[:CODE]
         return code
 
-    def of(self, text: str | None) -> list[bytes]:
-        return list(map(self.__getitem__, _WORD.findall((text or "").lower())))
+    def of(self, text: str | None) -> bytes:
+        return b"".join(map(self.__getitem__, _WORD.findall((text or "").lower())))
+
+
+def _numbers(codes: bytes) -> np.ndarray:
+    """Of each word the first eight bytes of its code."""
+    return np.frombuffer(codes, np.uint8).reshape(-1, CODE)[:, :8].copy().view(np.uint64).ravel()
 
 
 class Compressors:
@@ -91,10 +100,10 @@ class Compressors:
             d.precompute_compress(compression_params=how)
             self.made.append(z.ZstdCompressor(dict_data=d, compression_params=how).compress)
 
-    def gains(self, codes: list[bytes]) -> list[int]:
+    def gains(self, codes: bytes) -> list[int]:
         """Of each window, how many bytes the toxic dictionary saves."""
-        plain, toxic = self.made
-        windows = (b"".join(codes[at : at + SPAN]) for at in range(0, len(codes), SPAN))
+        (plain, toxic), step = self.made, SPAN * CODE
+        windows = (codes[at : at + step] for at in range(0, len(codes), step))
         return [len(plain(w)) - len(toxic(w)) for w in windows]
 
 
@@ -132,17 +141,24 @@ def train(rows: list[tuple[int, str, int]]) -> Model:
     seen: dict[str, int] = {}
     for _, text, toxic in rows:
         seen[text] = max(toxic, seen.get(text, 0))
-    order = sorted(seen, key=lambda t: (zlib.crc32(t.encode("utf-8", "surrogatepass")), t))
-    codes = Codes()
+    order, codes = sorted(seen, key=lambda t: (zlib.crc32(t.encode("utf-8", "surrogatepass")), t)), Codes(LEARNING)
     texts = {k: [codes.of(t) for t in order if seen[t] == k] for k in (0, 1)}
     fit = {k: [c for i, c in enumerate(v) if i % CALIBRATES and c] for k, v in texts.items()}
     held = {k: v[::CALIBRATES] for k, v in texts.items()}
+    del texts, seen, order
     if not all(fit.values()) or not all(held.values()):
         return Model()
-    common = {w for c in fit[0] for w in c}
-    odd = [b"".join(dict.fromkeys(w for w in c if w not in common)) for c in fit[1]]
+    common = np.unique(np.sort(np.concatenate([_numbers(c) for c in fit[0]])))
+    odd = []
+    for c in fit[1]:
+        numbers, first = np.unique(_numbers(c), return_index=True)
+        known = common[np.searchsorted(common, numbers).clip(max=len(common) - 1)] == numbers
+        odd.append(b"".join(c[at * CODE : (at + 1) * CODE] for at in sorted(first[~known])))
     odd = [x for x in odd if x]
-    ordinary, best = _trained([b"".join(c) for c in fit[0]], ORDINARY), (-1e9, Model())
+    # The trainer needs several times its samples' memory.
+    upto = np.searchsorted(np.cumsum([len(c) for c in fit[0]]), TRAINED) + 1
+    ordinary, best = _trained(fit[0][:upto], ORDINARY), (-1e9, Model())
+    del fit, common
     for size in TOXIC if odd else ():
         model = Model(ordinary, _trained(odd, size))
         c = model.compressors()
