@@ -48,13 +48,13 @@ from .common import counted, ship, text_digest
 ship(__name__)
 
 FOLDS = 5
-#: Rows learnt from, ordinary and toxic, and the bytes of their texts: at most 164 MB reach the driver.
+#: Rows learnt from, ordinary and toxic, and the bytes of their texts: at most 164 MB, in one task.
 SAMPLE, SAMPLE_BYTES = (8_000, 2_000), 16_384
 #: Bytes of a word's code, words of a window, bytes of the ordinary dictionary and tried for the toxic one.
 CODE, SPAN, ORDINARY, TOXIC = 12, 16, 393_216, (1_024, 1_536, 2_048, 3_072, 4_096)
 #: The gain of one known word; what a clean text judged toxic weighs; of the rows every so many calibrates.
 HIT, WRONG, CALIBRATES = 8, 8, 4
-#: Codes that a worker remembers, and the driver while it learns; bytes of codes that the ordinary dictionary is trained on.
+#: Codes that a worker remembers, and while it learns; bytes of codes that the ordinary dictionary is trained on.
 KEPT, LEARNING, TRAINED = 500_000, 50_000, 4 << 20
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -175,8 +175,8 @@ def train(rows: list[tuple[int, str, int]]) -> Model:
     return best[1]
 
 
-def sample(docs: DataFrame, labels: DataFrame, each: tuple[int, int] = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> list[tuple[int, str, int]]:
-    """The labelled rows to learn from, each[0] ordinary and each[1] toxic ones at most, of texts up to most_bytes."""
+def sample(docs: DataFrame, labels: DataFrame, each: tuple[int, int] = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """The labelled rows to learn from (doc_id, text, toxic), each[0] ordinary and each[1] toxic ones at most, of texts up to most_bytes."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = counted(known.withColumnRenamed("doc_id", "_id"))
     text = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.octet_length("text") <= most_bytes))
@@ -185,13 +185,24 @@ def sample(docs: DataFrame, labels: DataFrame, each: tuple[int, int] = SAMPLE, m
     some = [rows.where(F.col("toxic") == k).orderBy(key, "doc_id").limit(n) for k, n in enumerate(each)]
     ids = some[0].unionByName(some[1]).select(F.col("doc_id").alias("_id"), "toxic", "_text")  # sum(each) rows at most
     rows = text.join(F.broadcast(ids), (F.col("doc_id") == F.col("_id")) & (text_digest(F.col("text")) == F.col("_text")))
-    rows = rows.groupBy("doc_id", "_text").agg(F.first("text").alias("text"), F.first("toxic").alias("toxic"))
-    return [(r["doc_id"], r["text"], r["toxic"]) for r in rows.collect()]
+    return rows.groupBy("doc_id", "_text").agg(F.first("text").alias("text"), F.first("toxic").alias("toxic")).select("doc_id", "text", "toxic")
+
+
+def fitted(docs: DataFrame, labels: DataFrame, **how) -> Model:
+    """The model of the sample, which one task learns from; its texts don't reach the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = train([(None, t, k) for b in batches for t, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)])
+        yield pa.RecordBatch.from_arrays([pa.array([m.ordinary], pa.binary()), pa.array([m.toxic], pa.binary()), pa.array([m.slope], pa.float64()), pa.array([m.threshold], pa.float64())], names=["ordinary", "toxic", "slope", "threshold"])
+
+    rows = sample(docs, labels, **how).select("text", "toxic").repartition(1)
+    made = rows.mapInArrow(run, "ordinary binary, toxic binary, slope double, threshold double").collect()
+    return Model(bytes(made[0]["ordinary"]), bytes(made[0]["toxic"]), made[0]["slope"], made[0]["threshold"]) if made else Model()
 
 
 def score(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     """doc_id, held_out, score, predicted, gain (bytes saved in the best window, less what its length makes likely)."""
-    model = train(sample(docs, labels, **how))
+    model = fitted(docs, labels, **how)
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,7 +217,7 @@ def score(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
 
 def without_toxic(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     """The rows of docs that aren't predicted toxic, in one pass over the texts."""
-    model = train(sample(docs, labels, **how))
+    model = fitted(docs, labels, **how)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

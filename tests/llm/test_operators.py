@@ -271,7 +271,7 @@ def test_toxicity_against_a_loop(spark):
     """The query's verdicts are those of the model over each text; held out, it finds toxic rows and leaves clean ones alone."""
     d = "/root/testdata/sf0.01"
     docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
-    model = toxicity.train(toxicity.sample(docs, labels))
+    model = toxicity.train(list(map(tuple, toxicity.sample(docs, labels).collect())))
     compress, codes = model.compressors(), toxicity.Codes()
     want = {r["doc_id"]: int(model.value(compress.gains(codes.of(r["text"]))) > model.threshold) for r in docs.collect()}
     got = toxicity.score(docs, labels).collect()
@@ -302,5 +302,5 @@ def test_toxicity_held_out_and_in_long_texts():
 def test_toxicity_sample_is_filtered_before_it_is_bounded(spark):
     docs = spark.createDataFrame([(k, "x " * 9000 if k % 2 else f"word {k}") for k in range(60)] + [(2, "another text")], "doc_id long, text string")
     labels = spark.createDataFrame([(k, k // 30) for k in range(60)] + [(1000, 1)], "doc_id long, toxic int")
-    got = toxicity.sample(docs, labels, each=(8, 8))
+    got = toxicity.sample(docs, labels, each=(8, 8)).collect()
     assert Counter(t for _, _, t in got) == {0: 8, 1: 8} and all(len(x) < 100 for _, x, _ in got)

@@ -55,7 +55,7 @@ def shards(rows, n=40):
 
 def test_pipeline_against_plain_python(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    model = toxicity.train(toxicity.sample(docs, labels))
+    model = toxicity.train(list(map(tuple, toxicity.sample(docs, labels).collect())))
     compress, codes = model.compressors(), toxicity.Codes()
     rows = [(r["doc_id"], r["text"], r["source"]) for r in docs.collect() if model.value(compress.gains(codes.of(r["text"]))) <= model.threshold]
     found = classes([r[:2] for r in rows])
