@@ -45,6 +45,8 @@ WIDTH, THRESHOLD = 5, 0.8
 TREES, FULL_DEPTH, LEVELS, RECALL = 16, 8, (8, 6, 4, 3), 0.9999
 #: Distinct texts of a block, and their shingles; a task verifies two blocks, so long texts don't raise its memory.
 BLOCK, BLOCK_SHINGLES = 512, 400_000
+#: Bytes up to which a table is broadcast to rows without texts. Beyond, both sides are shuffled: they are numbers and digests, while the driver builds every broadcast and keeps it until its garbage is collected.
+SMALL = 4 << 20
 
 _SPLIT = re.compile(f"[{SPACE}]+")
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -132,13 +134,15 @@ def met(reps: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, t
         else:
             at = at.join(done, at["rep"] == done["_done"], "left").select("rep", "node", F.col("_done").isNull().alias("open"))
             nodes = at.groupBy("node").agg(size.alias("n"), F.min("rep").alias("least"), F.max("open").alias("open")).where("n > 1 and open")
-        nodes = counted(nodes.select("node", "least"))
+        nodes = counted(nodes.select("node", "least"), size=SMALL)
         members = materialise(at.select("rep", "node").join(nodes, "node"))
         tied = members.where("rep <> least").select(F.col("rep").alias("u"), F.col("least").alias("v"))
         edges = tied if edges is None else edges.unionByName(tied)
+        if d == levels[-1]:
+            break
         stop = members.groupBy("rep").agg(size.alias("k")).where(F.col("k") >= enough).select(F.col("rep").alias("_done"))
         done = stop if done is None else done.unionByName(stop).distinct()
-        done = counted(done)
+        done = counted(done, size=SMALL)
     return edges
 
 
@@ -206,7 +210,7 @@ def _blocks(member: DataFrame, threshold: float) -> DataFrame:
     near = bands.select("comp", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), F.struct(F.col("band").alias("of"), "blocks").alias("x"))
     near = near.groupBy("comp", "band").agg(F.collect_list("x").alias("near"))  # three entries at most
     near = bands.join(near, ["comp", "band"])
-    member = member.join(counted(near), ["comp", "band"])  # a row a band: texts of one component stay where they are
+    member = member.join(counted(near, size=SMALL), ["comp", "band"])  # a row a band: texts of one component stay where they are
     side = F.struct("band", F.expr("cast(pmod(xxhash64(rep), blocks) as int)").alias("k"))
     others = F.flatten(F.transform("near", lambda x: F.transform(F.sequence(F.lit(0), x["blocks"] - 1), lambda k: F.struct(x["of"].alias("band"), k.alias("k")))))
     return member.select("rep", "comp", "copies", "text_id", side.alias("side"), others.alias("others"))
@@ -219,10 +223,11 @@ def _classes(docs: DataFrame, sigs: DataFrame, width: int, threshold: float, rec
     reps = materialise(materialise(reps).withColumn("rep", F.monotonically_increasing_id()))
     near = components(met(reps.select("rep", "forest"), threshold, recall, trees))
     member = near.unionByName(near.select(F.col("v").alias("u"), "v").distinct()).select(F.col("u").alias("rep"), F.col("v").alias("comp"))
-    member = counted(_blocks(member.join(reps.select("rep", "copies", "size", "text_id"), "rep"), threshold))
-    member = member.withColumnRenamed("text_id", "_id")
-    texts = docs.select(text_digest(F.col("text")).alias("_text_id"), "text").join(member, F.col("_text_id") == F.col("_id"))
-    texts = texts.groupBy("rep").agg(F.first("comp").alias("comp"), F.first("copies").alias("copies"), F.first("side").alias("side"), F.first("others").alias("others"), F.first("text").alias("text"))
+    member = materialise(_blocks(member.join(reps.select("rep", "copies", "size", "text_id"), "rep"), threshold))
+    # The texts that have met, once each: only a hash of their digests is sent to all texts.
+    some = counted(member.select(F.xxhash64("text_id").alias("_some")).distinct())
+    texts = docs.select(text_digest(F.col("text")).alias("text_id"), "text").join(some, F.xxhash64("text_id") == F.col("_some"), "left_semi")
+    texts = texts.groupBy("text_id").agg(F.first("text").alias("text")).join(member, "text_id")
     pairs = texts.withColumn("other", F.explode("others"))
     pairs = pairs.select("comp", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "rep", "copies", "text")
     name = lambda c: F.concat_ws(":", F.col(f"{c}.band"), F.col(f"{c}.k"))
@@ -240,7 +245,7 @@ def _joined(docs: DataFrame, width: int, threshold: float, recall: float, trees:
     sigs = materialise(signatures(docs, width, trees))
     full = _classes(docs, sigs, width, threshold, recall, trees)
     # Only sets with company need looking up; that of a text without any is itself.
-    some = counted(full.where("copies > 1 or links > 0").select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "class", (F.col("copies") - 1 + F.col("links")).alias("n_links")))
+    some = counted(full.where("copies > 1 or links > 0").select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "class", (F.col("copies") - 1 + F.col("links")).alias("n_links")), size=SMALL)
     out = sigs.select("doc_id", "text_id", "n_shingles", "k1", "k2").join(some, (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2")), "left")
     return materialise(out.select("doc_id", "text_id", "n_shingles", "k1", "k2", "class", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")))
 
@@ -250,8 +255,8 @@ def join(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, reca
     rows = _joined(docs, width, threshold, recall, trees)
     # Classes of a single text need no name from elsewhere.
     met_any = rows.where("class is not null")
-    names = counted(met_any.groupBy("class").agg(F.min("doc_id").alias("class_id")).withColumnRenamed("class", "_class"))
-    copies = counted(met_any.groupBy("k1", "k2").agg(F.min("doc_id").alias("copy_id")).withColumnsRenamed({"k1": "_k1", "k2": "_k2"}))
+    names = counted(met_any.groupBy("class").agg(F.min("doc_id").alias("class_id")).withColumnRenamed("class", "_class"), size=SMALL)
+    copies = counted(met_any.groupBy("k1", "k2").agg(F.min("doc_id").alias("copy_id")).withColumnsRenamed({"k1": "_k1", "k2": "_k2"}), size=SMALL)
     rows = rows.join(names, F.col("class") == F.col("_class"), "left").join(copies, (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2")), "left")
     alone = F.col("class").isNull()
     named = lambda c: F.when(alone, F.col("doc_id")).otherwise(F.col(c))
